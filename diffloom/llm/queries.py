@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from diffloom.llm import encode, lookalike, pack, secrets, split
+from diffloom.llm import encode, lookalike, pack, secrets, split, syntax
 from diffloom.session import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,21 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_units(table(spark, d, "review_units"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Cases whose source isn't valid syntax in its language."""
+    return p4_faults(spark, d).select("case_id")
+
+
+def p4_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Those cases with the first fault and its line."""
+    return syntax.source_faults(table(spark, d, "eval_cases")).where("reason IS NOT NULL")
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Files, faulty files and their rate per repository and language."""
+    return syntax.fault_rates(syntax.source_faults(table(spark, d, "eval_cases")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines on which a secret begins."""
     return secrets.find_secrets(table(spark, d, "review_units"), with_text=False).where(F.size("kinds") > 0).select("unit_id", "line_no")
@@ -68,6 +83,9 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_faults": p4_faults,
+    "p4_rates": p4_rates,
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
     "p6_ids": p6_ids,
