@@ -161,7 +161,8 @@ def _tokens(text: str, language: str) -> list[tuple[str, str, int, int]]:
             continue
         if js and tok == "/":
             p = out[-1] if out else ("", "", 0, 0)
-            if p[0] not in ("num", "str", "close") and not (p[0] == "word" and p[1] not in _TS_REGEX_AFTER):
+            asserted = p[1] == "!" and len(out) > 1 and out[-2][0] in ("word", "close") and out[-2][2] + len(out[-2][1]) == p[2]
+            if not asserted and p[0] not in ("num", "str", "close") and not (p[0] == "word" and p[1] not in _TS_REGEX_AFTER):
                 r = _REGEX.match(text, i)
                 if not r:
                     if p[0] != "op" or p[1] not in ("<",):
@@ -289,7 +290,7 @@ def _ended(toks: list[tuple[str, str, int, int]], language: str) -> None:
     kind, tok, at, _ = toks[-1]
     if tok in _NEEDS_MORE and not (tok == "!" and language == "typescript"):
         raise _Broken("premature end", at)
-    if language in ("java", "csharp", "rust") and tok not in (";", "}") and not (tok in ("]", ")") and (language == "rust" or toks[0][1] == "[")):
+    if language in ("java", "csharp", "rust") and tok not in (";", "}") and not (tok == "]" and toks[0][1] in ("#", "[")):
         raise _Broken("premature end", at)
     start = len(toks) - 1  # the last top-level statement
     while start > 0 and not (toks[start - 1][3] == 0 and (toks[start - 1][1] == ";" or toks[start - 1][0] == "close" and toks[start - 1][1] == "}" and start - 1 != len(toks) - 1)):
