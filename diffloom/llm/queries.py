@@ -6,12 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from diffloom.llm import encode, lookalike, pack, secrets, split, syntax
+from diffloom.llm import encode, generated, lookalike, pack, secrets, split, syntax
 from diffloom.session import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Changed files that nobody wrote by hand."""
+    return p1_reasons(spark, d).select("file_id")
+
+
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Those files with what gave them away."""
+    return generated.unwritten_files(table(spark, d, "changed_files"), table(spark, d, "gate_options"))
+
+
+def p1_gate(spark: SparkSession, d: str) -> DataFrame:
+    """How past gate decisions (the last run of each file) agree with what was found."""
+    last = F.max_by(F.struct("decision", "reason"), F.struct("run_no", "decided_at", "decision_id")).alias("last")
+    decided = table(spark, d, "gate_decisions").groupBy("file_id").agg(last)
+    both = decided.join(p1_reasons(spark, d).withColumnRenamed("reason", "found"), "file_id", "left")
+    return both.groupBy(F.col("last.decision").alias("decision"), F.col("last.reason").alias("reason"), "found").agg(F.count(F.lit(1)).alias("files"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Units with more than 120 added lines, by way of their pieces."""
     return split.split_units(table(spark, d, "review_units"), with_lines=False).where("piece = 0").select("unit_id")
@@ -81,6 +99,9 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_reasons": p1_reasons,
+    "p1_gate": p1_gate,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
