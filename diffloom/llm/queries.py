@@ -120,7 +120,7 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "p3_found": """
         SELECT DISTINCT unit_id FROM review_units
-        WHERE len(list_distinct(list_filter(added_line_numbers, x -> x >= start_line AND x <= end_line))) > 120
+        WHERE len(list_distinct(list_filter(added_line_numbers, lambda x: x >= start_line AND x <= end_line))) > 120
     """,
     "p6_decoded": "SELECT doc_id, true AS same FROM documents",
 }
