@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from diffloom.operators.skew import dictionary_join, hot_keys
+from diffloom.session import staged
 
 CHECKED = ("line", "path", "rule_id", "level")
 MAX_LINE = 2147483647
@@ -87,8 +88,8 @@ def bad_records(lines: DataFrame, feeds: DataFrame, key: str = "raw_id") -> Data
         .withColumn("_pair", F.concat_ws("\u0000", "column", "value"))
     )
     bad = invalid_values(pairs).withColumn("_pair", F.concat_ws("\u0000", "column", "value"))
-    total = F.broadcast(bad.agg(F.sum("_n").alias("_total")))
-    hot = bad.join(total, how="cross").where(F.col("_n") >= F.col("_total") / 500).select("_pair")
+    bad = staged(bad, "invalid-values")
+    hot = hot_keys(bad, "_pair", "_n", bad.agg(F.sum("_n")).first()[0] or 0)
     found = dictionary_join(pairs.select(key, "_pair"), bad.select("_pair", "reason"), "_pair", key, hot).select(key, "reason")
     return broken.unionByName(found).groupBy(key).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
@@ -109,7 +110,7 @@ def load_alerts(lines: DataFrame, feeds: DataFrame, key: str = "raw_id") -> Data
         f("rule_id").alias("rule_id"),
         F.when(level != "", level).alias("level"),
         F.translate(f("path"), "\\", "/").alias("path"),
-        F.trim(f("line")).cast("int").alias("line"),
+        F.trim(f("line")).try_cast("int").alias("line"),
         f("message").alias("message"),
         f("help_uri").alias("help_uri"),
         f("run_no").alias("run_no"),

@@ -1,45 +1,4 @@
-"""The catalog of queries of the core library, with the SQL each is checked against."""
+"""All queries of the core library."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from diffloom.operators import badrows
-from diffloom.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under ``name``, with the SQL that gives the same rows if there is one."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-@query("p2_found")
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Records of static-analysis exports that aren't valid."""
-    return badrows.bad_records(table(spark, d, "static_alert_lines"), table(spark, d, "alert_feeds")).select("raw_id")
-
-
-@query("p2_reasons")
-def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """The same records with every reason."""
-    bad = badrows.bad_records(table(spark, d, "static_alert_lines"), table(spark, d, "alert_feeds"))
-    return bad.selectExpr("raw_id", "array_join(reasons, '; ') AS reasons")
-
-
-@query("p2_alerts")
-def p2_alerts(spark: SparkSession, d: str) -> DataFrame:
-    """The valid records as typed alerts."""
-    return badrows.load_alerts(table(spark, d, "static_alert_lines"), table(spark, d, "alert_feeds"))
+from diffloom.plans import alert_queries, eval_queries, line_queries, rule_queries, table_queries  # noqa: F401
+from diffloom.plans.registry import QUERIES, SQL  # noqa: F401
