@@ -38,13 +38,15 @@ def _unquote(v: Column) -> Column:
     return F.when(v.startswith('"'), F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v)
 
 
-def _parsed(lines: DataFrame, feeds: DataFrame, keep_line: bool = True) -> DataFrame:
-    """Structural check: ``lines`` plus ``_reason`` (null if sound) and ``_fields`` (map column -> value)."""
-    body = F.regexp_replace("raw_line", r"\r\z", "")
-    df = lines.join(F.broadcast(_layouts(feeds)), F.col("feed") == F.col("_feed"), "left").withColumn("_body", body)
-    sound = F.expr("_body rlike _sound")
-    values = F.expr("regexp_extract_all(concat(delimiter, _body), _field, 1)")
-    df = df.withColumn("_values", F.when(sound, values))
+def _parsed(lines: DataFrame, feeds: DataFrame, key: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, feed, reason, fields): the structural check, done once and staged.
+
+    ``reason`` is null for sound records; ``fields`` maps the columns of the layout (or those in ``only``) to values.
+    """
+    df = lines.select(key, "feed", "raw_line").join(F.broadcast(_layouts(feeds)), F.col("feed") == F.col("_feed"), "left")
+    df = df.withColumn("_body", F.regexp_replace("raw_line", r"\r\z", ""))
+    values = F.when(F.expr("_body rlike _sound"), F.expr("regexp_extract_all(concat(delimiter, _body), _field, 1)"))
+    df = df.withColumn("_values", F.explode(F.array(values)))  # one row a row; keeps the patterns from being run again for each use below
     reason = (
         F.when(F.col("raw_line").isNull(), "no record")
         .when(F.col("n_columns").isNull(), "unknown feed")
@@ -52,9 +54,11 @@ def _parsed(lines: DataFrame, feeds: DataFrame, keep_line: bool = True) -> DataF
         .when(F.size("_values") < F.col("n_columns"), "too few fields")
         .when(F.size("_values") > F.col("n_columns"), "too many fields")
     )
-    df = df.withColumn("_reason", reason)
+    df = df.withColumn("reason", reason)
     fields = F.map_from_arrays(F.col("column_names"), F.transform("_values", _unquote))
-    return df.withColumn("_fields", F.when(F.col("_reason").isNull(), fields)).drop("_feed", "_body", "_values", "_sound", "_field", "delimiter", "n_columns", "column_names")
+    if only:
+        fields = F.map_filter(fields, lambda k, _: k.isin(*only))
+    return staged(df.select(key, "feed", "reason", F.when(F.col("reason").isNull(), fields).alias("fields")), "records")
 
 
 def invalid_values(pairs: DataFrame) -> DataFrame:
@@ -74,34 +78,37 @@ def invalid_values(pairs: DataFrame) -> DataFrame:
     return distinct.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def bad_records(lines: DataFrame, feeds: DataFrame, key: str = "raw_id") -> DataFrame:
-    """(key, reasons): every record that isn't valid, once, with its sorted reasons.
-
-    Null records and unknown feeds are invalid. Each key counts once, however often its row is repeated. Records with
-    more than one bad value list every reason. Empty input gives an empty result; extra columns are ignored.
-    """
-    parsed = _parsed(lines.select(key, "feed", "raw_line"), feeds)
-    broken = parsed.where(F.col("_reason").isNotNull()).select(key, F.col("_reason").alias("reason"))
+def _bad(parsed: DataFrame, key: str) -> DataFrame:
+    """(key, reasons) of parsed records."""
+    broken = parsed.where(F.col("reason").isNotNull()).select(key, "reason")
     pairs = (
-        parsed.where(F.col("_reason").isNull())
-        .select(key, F.explode(F.map_filter("_fields", lambda k, _: k.isin(*CHECKED))).alias("column", "value"))
+        parsed.where(F.col("reason").isNull())
+        .select(key, F.explode(F.map_filter("fields", lambda k, _: k.isin(*CHECKED))).alias("column", "value"))
         .withColumn("_pair", F.concat_ws("\u0000", "column", "value"))
     )
-    bad = invalid_values(pairs).withColumn("_pair", F.concat_ws("\u0000", "column", "value"))
-    bad = staged(bad, "invalid-values")
+    bad = staged(invalid_values(pairs).withColumn("_pair", F.concat_ws("\u0000", "column", "value")), "invalid-values")
     hot = hot_keys(bad, "_pair", "_n", bad.agg(F.sum("_n")).first()[0] or 0)
     found = dictionary_join(pairs.select(key, "_pair"), bad.select("_pair", "reason"), "_pair", key, hot).select(key, "reason")
     return broken.unionByName(found).groupBy(key).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
+def bad_records(lines: DataFrame, feeds: DataFrame, key: str = "raw_id") -> DataFrame:
+    """(key, reasons): every record that isn't valid, once, with its sorted reasons.
+
+    Null records and unknown feeds are invalid. Each key counts once, however often its row is repeated. Records with
+    more than one bad value list every reason. Empty input gives an empty result; extra columns are ignored.
+    """
+    return _bad(_parsed(lines, feeds, key, CHECKED), key)
+
+
 def load_alerts(lines: DataFrame, feeds: DataFrame, key: str = "raw_id") -> DataFrame:
     """The valid records as typed alerts: key, feed, tool, rule_id, level, path, line, message, help_uri, run_no.
 
     Paths get forward slashes; a blank level is null; columns a feed lacks are null.
     """
-    parsed = _parsed(lines.select(key, "feed", "raw_line"), feeds).where(F.col("_reason").isNull())
-    good = parsed.join(bad_records(lines, feeds, key).select(key), key, "left_anti")
-    f = lambda name: F.try_element_at("_fields", F.lit(name))
+    parsed = _parsed(lines, feeds, key)
+    good = parsed.where(F.col("reason").isNull()).join(_bad(parsed, key).select(key), key, "left_anti")
+    f = lambda name: F.try_element_at("fields", F.lit(name))
     level = F.lower(F.trim(f("level")))
     return good.select(
         key,

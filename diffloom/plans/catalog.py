@@ -1,4 +1,4 @@
 """All queries of the core library."""
 
-from diffloom.plans import alert_queries, eval_queries, line_queries, rule_queries, table_queries  # noqa: F401
+from diffloom.plans import alert_queries, eval_queries, line_queries, rule_queries, stream_queries, table_queries  # noqa: F401
 from diffloom.plans.registry import QUERIES, SQL  # noqa: F401

@@ -149,14 +149,14 @@ def unit_scope(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "imports",
     rf"""
-    WITH {_UNIT_LINES}
-    SELECT unit_id, line_no::INT AS line_no, trim(line) AS line FROM l WHERE regexp_matches(trim(line), '^(?:import|from|package|using|use) |require\(')
-    QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY line_no) <= 40
+    WITH {_FILE_LINES}
+    SELECT file_id, line_no::INT AS line_no, trim(line) AS line FROM f WHERE regexp_matches(trim(line), '^(?:import|from|package|using|use) |require\(')
+    QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY line_no) <= 40
     """,
 )
 def import_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The first import lines of each unit."""
-    return units.imports(unit_lines(spark, d), "unit_id")
+    """The first import lines of each changed file."""
+    return units.imports(file_lines(spark, d), "file_id")
 
 
 @query(
