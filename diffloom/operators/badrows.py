@@ -29,7 +29,7 @@ def _layouts(feeds: DataFrame) -> DataFrame:
         "n_columns",
         "column_names",
         "delimiter",
-        F.concat(F.lit("^"), field, F.lit("(?:"), d, field, F.lit(")*+$(?!\\n)")).alias("_sound"),
+        F.concat(F.lit("^"), field, F.lit("(?:"), d, field, F.lit(r")*+\z")).alias("_sound"),
         F.concat(d, loose).alias("_field"),
     )
 
