@@ -48,7 +48,7 @@ _CONFLICT = re.compile(r"(?:<{7}|>{7}|={7}|\|{7})(?![<>=|])[^\n]*")
 # Words after which an operand follows in TypeScript and JavaScript, or that may stand before a name.
 _TS_JOIN = set(
     "abstract accessor as assert asserts async await break case catch class const continue debugger declare default delete do else enum export extends finally for from function get global if implements import in infer instanceof "
-    "interface is keyof let module namespace new of out override package private protected public readonly return satisfies set static super switch this throw try type typeof unique using var void while with yield".split()
+    "interface is keyof let module namespace new of out override private protected public readonly return satisfies set static super switch this throw try type typeof unique using var void while with yield".split()
 )
 _TS_REGEX_AFTER = set("return typeof case in of delete void throw new do else instanceof await yield default".split())
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
