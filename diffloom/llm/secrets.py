@@ -128,6 +128,11 @@ def _structured(kind: str, token: str) -> bool:
     return len(set(body)) >= 6 and not re.search(r"(?i)example|xxxx|0{8}|1234567890abcdef|your|redacted|placeholder|sample", body)
 
 
+def _scattered(v: str) -> bool:
+    """Whether lower and upper case alternate as in random text, not as in words."""
+    return len(re.findall(r"[a-z](?=[A-Z])|[A-Z]{2}(?=[a-z])", v)) >= 3
+
+
 def _usable(value: str | None, named: bool = True) -> bool:
     """Whether a value can be a secret: no placeholder, reference, digest, id, number, prose or path."""
     if value is None:
@@ -139,7 +144,7 @@ def _usable(value: str | None, named: bool = True) -> bool:
         return False
     if v.isdigit() and len(v) < 9 or len(set(v)) < 4:
         return False
-    if "://" in v or re.fullmatch(r"(?:\.{0,2}/)?[\w\-]+(?:/[\w.\-]+)*/[\w.\-]+", v) and not re.search(r"[0-9]", v):
+    if "://" in v or re.fullmatch(r"(?:\.{0,2}/)?[\w\-]+(?:/[\w.\-]+)*/[\w.\-]+", v) and not re.search(r"[0-9]", v) and not _scattered(v):
         return False
     if v.startswith(("-----BEGIN", "ssh-rsa", "ssh-ed25519", "AAAAB3")):
         return False
@@ -212,7 +217,7 @@ def line_hits(line: str, before: str, language: str | None = None) -> list[tuple
     if c := _COMMENT.search(line):
         for m in _SPOKEN.finditer(line, c.start(c.lastindex)):
             v = m.group(1).rstrip(".:!?")
-            if re.search(r"\d", v) and re.search(r"[A-Za-z]", v) and not re.search(r"(?i)^(?:%s)\b" % "|".join(_WORDS), v) and not re.fullmatch(r"[a-z\-]+(?:/[a-z\-]+)+|[\w.]+\([^)]*\)?|#?\d+\w?|\d{4}-\d\d-\d\d|v?\d+(?:\.\d+)+", v) and _usable(v, named=False):
+            if (re.search(r"\d", v) or _scattered(v)) and re.search(r"[A-Za-z]", v) and not re.search(r"(?i)^(?:%s)\b" % "|".join(_WORDS), v) and not re.fullmatch(r"[a-z\-]+(?:/[a-z\-]+)+|[\w.]+\([^)]*\)?|#?\d+\w?|\d{4}-\d\d-\d\d|v?\d+(?:\.\d+)+", v) and _usable(v, named=False):
                 hits.append((m.start(1), m.start(1) + len(v), "comment"))
     return hits
 

@@ -263,6 +263,23 @@ def _beside(toks: list[tuple[str, str, int, int]], text: str, language: str) ->
                 raise _Broken("operands side by side", toks[k + 1][2])
 
 
+def _imported(toks: list[tuple[str, str, int, int]], language: str) -> None:
+    """Raise where an import or package clause of Java, TypeScript or JavaScript isn't complete."""
+    for k, (kind, tok, at, depth) in enumerate(toks):
+        if depth or kind != "word" or k and toks[k - 1][1] in (".", "@", "#"):
+            continue
+        rest = [t[1] for t in toks[k + 1 : k + 4]] + ["", "", ""]
+        if language == "java" and tok in ("import", "package") and (k == 0 or toks[k - 1][1] in (";", ")", "}") or toks[k - 1][0] == "word"):
+            j = k + 1
+            while j < len(toks) and (toks[j][0] == "word" and toks[j][1] not in ("import", "package") or toks[j][1] in (".", "*")):
+                j += 1
+            if j == k + 1 or j == len(toks) or toks[j][1] not in (";", "{"):
+                raise _Broken("import without its end", at)
+        elif language != "java" and tok == "import" and toks[k + 1 : k + 2] and toks[k + 1][0] == "word" and rest[0] not in ("type", "defer", "source"):
+            if rest[1] not in ("from", ",", "="):
+                raise _Broken("import without its end", at)
+
+
 def _in_macro(toks: list, k: int) -> bool:
     """Whether a Rust token lies inside the delimiters of a macro call."""
     depth = toks[k][3]
@@ -341,6 +358,8 @@ def fault(source: str, language: str) -> tuple[str, int] | None:
                 if toks and _DECLARE.match(text) and not (language == "csharp" and text.lstrip().startswith("#")):
                     raise _Broken("text of another language", 0)
                 _other_language(toks, text, language)
+                if language in ("java", "typescript", "javascript"):
+                    _imported(toks, language)
                 _beside(toks, text, language)
                 _ended(toks, language)
         except _Broken:
