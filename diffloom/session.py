@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +28,26 @@ def build_session(cpus: int | None = None, app: str = "diffloom") -> SparkSessio
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_diffloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="diffloom-"), "diffloom.zip")  # read by the driver alone, which serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("diffloom", os.path.relpath(full, root)))
+    context.addPyFile(archive)
+    context._diffloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
