@@ -6,10 +6,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from diffloom.functions import scalars as S
 from diffloom.operators import alerts, badrows
-from diffloom.plans.registry import query
+from diffloom.plans.registry import query, r6
 from diffloom.session import staged, table
 
 
+_FIELD = """'(?:"(?:[^"]|"")*"|[^"' || d || '\\r\\n]*)'"""
+_PARSED_SQL = rf"""
+    f AS (SELECT feed, n_columns, column_names, delimiter, CASE WHEN delimiter = chr(9) THEN '\t' ELSE '\' || delimiter END AS d FROM alert_feeds),
+    r AS (SELECT raw_id, repo, f.*, regexp_replace(raw_line, '\r$', '') AS body FROM static_alert_lines LEFT JOIN f USING (feed)),
+    p AS (SELECT *, regexp_matches(body, '^' || {_FIELD} || '(?:' || d || {_FIELD} || ')*$') AS sound, regexp_extract_all(delimiter || body, d || '(' || replace({_FIELD}, '\r\n', '') || ')', 1) AS w FROM r),
+    u AS (SELECT * EXCLUDE (w), list_transform(w, lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END) AS v FROM p),
+    c AS (SELECT raw_id, repo, feed, sound, len(v) = n_columns AS whole, {", ".join(f"v[list_position(column_names, '{c}')] AS {c}" for c in ("tool", "rule_id", "path", "line", "message", "help_uri", "run_no"))},
+        list_contains(column_names, 'level') AS leveled, v[list_position(column_names, 'level')] AS level FROM u),
+    k AS (SELECT *, coalesce(sound AND whole AND regexp_matches(line, '^ *[0-9]+ *$') AND try_cast(trim(line) AS HUGEINT) BETWEEN 1 AND 2147483647
+        AND regexp_matches(path, '[^\s\v\x85\p{{Z}}]') AND NOT regexp_matches(path, '[\p{{Cc}}\x{{FFFD}}]') AND rule_id <> '' AND NOT regexp_matches(rule_id, '[\s\v\x85\p{{Z}}\p{{Cc}}]')
+        AND (NOT leveled OR lower(trim(level)) IN ('error', 'warning', 'note', 'none') OR NOT regexp_matches(level, '[^\s\v\x85\p{{Z}}]')), false) AS valid FROM c),
+    g AS (SELECT raw_id, repo, feed, tool, rule_id, nullif(lower(trim(level)), '') AS level, replace(path, chr(92), '/') AS path, trim(line)::INT AS line, message, help_uri, run_no FROM k WHERE valid)
+"""
+_BAD_SQL = f"WITH {_PARSED_SQL} SELECT DISTINCT raw_id FROM k WHERE NOT valid"
+
+
 def _alerts(spark: SparkSession, d: str) -> DataFrame:
     """Valid alerts with their repository."""
     raw = table(spark, d, "static_alert_lines")
@@ -21,7 +37,7 @@ def _added(spark: SparkSession, d: str) -> DataFrame:
     return files.select("repo", S.slashed(F.col("path")).alias("path"), F.explode("added_line_numbers").alias("line")).where("repo IS NOT NULL")
 
 
-@query("p2_found")
+@query("p2_found", _BAD_SQL)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Records of static-analysis exports that aren't valid."""
     return badrows.bad_records(table(spark, d, "static_alert_lines"), table(spark, d, "alert_feeds")).select("raw_id")
@@ -34,26 +50,42 @@ def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
     return bad.select("raw_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query("p2_alerts")
+@query("p2_alerts", f"WITH {_PARSED_SQL} SELECT * EXCLUDE (repo) FROM g")
 def p2_alerts(spark: SparkSession, d: str) -> DataFrame:
     """The valid records as typed alerts."""
     return badrows.load_alerts(table(spark, d, "static_alert_lines"), table(spark, d, "alert_feeds"))
 
 
-@query("alert_semi")
+@query(
+    "alert_semi",
+    f"WITH {_PARSED_SQL}, a AS (SELECT DISTINCT repo, replace(path, chr(92), '/') AS path, unnest(added_line_numbers) AS line FROM changed_files) SELECT raw_id, repo, path, line, rule_id FROM g SEMI JOIN a USING (repo, path, line)",
+)
 def alert_semi(spark: SparkSession, d: str) -> DataFrame:
     """Alerts on added lines."""
     return alerts.alerts_on_lines(_alerts(spark, d), _added(spark, d)).select("raw_id", "repo", "path", "line", "rule_id")
 
 
-@query("alert_unit_range")
+@query(
+    "alert_unit_range",
+    f"""
+    WITH {_PARSED_SQL}, s AS (SELECT DISTINCT repo, replace(path, chr(92), '/') AS path, unit_id, start_line, end_line FROM review_units)
+    SELECT raw_id, any_value(g.repo) AS repo, any_value(g.path) AS path, any_value(line) AS line, arg_min(unit_id, {{'s': start_line, 'u': unit_id}}) AS unit_id
+    FROM g LEFT JOIN s ON s.repo = g.repo AND s.path = g.path AND line BETWEEN start_line AND end_line WHERE g.repo IS NOT NULL GROUP BY raw_id
+    """,
+)
 def alert_unit_range(spark: SparkSession, d: str) -> DataFrame:
     """Each alert with the first review unit that holds its line."""
     units = table(spark, d, "review_units").select("repo", S.slashed(F.col("path")).alias("path"), "unit_id", "start_line", "end_line").distinct()
     return alerts.alert_units(staged(_alerts(spark, d), "alerts"), units).select("raw_id", "repo", "path", "line", "unit_id")
 
 
-@query("alert_keep")
+@query(
+    "alert_keep",
+    f"""
+    WITH {_PARSED_SQL}, x AS (SELECT *, {r6("CASE WHEN regexp_matches(lower(message), 'placeholder|example|todo') THEN 0.1::DOUBLE ELSE 0.9::DOUBLE END * CASE WHEN level IN ('note', 'none') THEN 0.5::DOUBLE ELSE 0.95::DOUBLE END")} AS p FROM g WHERE repo IS NOT NULL)
+    SELECT raw_id, rule_id, CASE WHEN level = 'error' THEN 'high' WHEN level IN ('note', 'none') THEN 'low' ELSE 'medium' END AS severity, p, CASE WHEN p >= 0.75 THEN 'keep' ELSE 'drop' END AS decision FROM x
+    """,
+)
 def alert_keep(spark: SparkSession, d: str) -> DataFrame:
     """Alerts kept when real * matters reaches the report threshold, with a severity from their level.
 

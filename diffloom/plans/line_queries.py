@@ -87,7 +87,19 @@ def gate_agreement(spark: SparkSession, d: str) -> DataFrame:
     return now.groupBy("reason", F.col("r.decision").alias("recorded"), F.col("r.reason").alias("recorded_reason")).agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("lang_detect")
+def _case_sql(key: str, table_: dict[str, str]) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table_.items()) + " END"
+
+
+@query(
+    "lang_detect",
+    rf"""
+    WITH b AS (SELECT file_id, string_split(replace(path, chr(92), '/'), '/')[-1] AS name, substr(coalesce(content, ''), 1, 2048) AS head FROM changed_files)
+    SELECT file_id, coalesce({_case_sql('name', gate.BY_NAME)}, {_case_sql("lower(regexp_extract(name, '([.][^.]+)$', 1))", gate.BY_EXTENSION)},
+        {_case_sql("regexp_extract(head, '^#![ ]*(?:[^ ]*/)?(?:env +)?(?:[^ ]*/)?([A-Za-z]+[0-9]*)', 1)", gate.BY_SHEBANG)},
+        CASE WHEN regexp_matches(head, '^\s*<!DOCTYPE html|^\s*<html') THEN 'html' WHEN regexp_matches(head, '(?m)^package \w+\s*$') THEN 'go' WHEN regexp_matches(head, '^\s*\{{\s*"') THEN 'json' END) AS language FROM b
+    """,
+)
 def lang_detect(spark: SparkSession, d: str) -> DataFrame:
     """The detected language of every changed file."""
     return table(spark, d, "changed_files").select("file_id", gate.detected_language(F.col("path"), F.col("content")).alias("language"))
