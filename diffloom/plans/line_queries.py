@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from diffloom.functions import scalars as S
 from diffloom.operators import gate, units
-from diffloom.plans.registry import query, r6
+from diffloom.plans.registry import SQL, query, r6
 from diffloom.session import table
 from diffloom.sources import text
 
@@ -79,7 +79,14 @@ def file_gate(spark: SparkSession, d: str) -> DataFrame:
     return gate.gated(table(spark, d, "changed_files"), table(spark, d, "gate_options")).select("file_id", "reason")
 
 
-@query("gate_agreement")
+@query(
+    "gate_agreement",
+    f"""
+    WITH now AS ({SQL["file_gate"]}),
+    l AS (SELECT file_id, arg_max({{'d': decision, 'r': reason}}, {{'n': run_no, 't': decided_at, 'i': decision_id}}) AS r FROM gate_decisions GROUP BY file_id)
+    SELECT now.reason, l.r.d AS recorded, l.r.r AS recorded_reason, count(*) AS files FROM now LEFT JOIN l USING (file_id) GROUP BY ALL
+    """,
+)
 def gate_agreement(spark: SparkSession, d: str) -> DataFrame:
     """The gate against the last recorded decision of each file."""
     last = table(spark, d, "gate_decisions").groupBy("file_id").agg(F.max_by(F.struct("decision", "reason"), F.struct("run_no", "decided_at", "decision_id")).alias("r"))
@@ -146,7 +153,18 @@ def added_runs(spark: SparkSession, d: str) -> DataFrame:
     return units.added_runs(table(spark, d, "changed_files"))
 
 
-@query("unit_merge")
+@query(
+    "unit_merge",
+    f"""
+    WITH RECURSIVE a AS ({SQL["added_runs"]}),
+    o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY run_start) AS n FROM a),
+    m AS (SELECT file_id, n, run_start AS s, run_end AS e, added AS k, 0 AS unit_no FROM o WHERE n = 1
+        UNION ALL SELECT o.file_id, o.n, CASE WHEN o.run_start - m.e <= 6 AND m.k + o.added <= 120 THEN m.s ELSE o.run_start END, o.run_end,
+            CASE WHEN o.run_start - m.e <= 6 AND m.k + o.added <= 120 THEN m.k + o.added ELSE o.added END, CASE WHEN o.run_start - m.e <= 6 AND m.k + o.added <= 120 THEN m.unit_no ELSE m.unit_no + 1 END
+        FROM m JOIN o ON o.file_id = m.file_id AND o.n = m.n + 1)
+    SELECT file_id, unit_no::INT AS unit_no, min(s) AS start_line, max(e) AS end_line, max(k)::INT AS added FROM m GROUP BY file_id, unit_no
+    """,
+)
 def unit_merge(spark: SparkSession, d: str) -> DataFrame:
     """Those runs merged over gaps of up to six lines, up to 120 added lines."""
     return units.merged_units(units.added_runs(table(spark, d, "changed_files")))

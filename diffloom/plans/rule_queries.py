@@ -210,7 +210,17 @@ def question_table(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d)
 
 
-@query("question_batches")
+@query(
+    "question_batches",
+    f"""
+    WITH RECURSIVE {_QUESTIONS}, t AS (SELECT unit_id, q_key, greatest(1, ceil(octet_length(encode(q_key || ' ' || kind)) / 3.5))::BIGINT AS tokens, row_number() OVER (PARTITION BY unit_id ORDER BY q_key) AS n FROM q),
+    b AS (SELECT unit_id, q_key, tokens, n, 0 AS batch, tokens AS total, tokens AS top FROM t WHERE n = 1
+        UNION ALL SELECT t.unit_id, t.q_key, t.tokens, t.n, CASE WHEN 10 + total + t.tokens > 60 OR 10 + greatest(top, t.tokens) > 40 THEN batch + 1 ELSE batch END,
+            CASE WHEN 10 + total + t.tokens > 60 OR 10 + greatest(top, t.tokens) > 40 THEN 0 ELSE total END + t.tokens, CASE WHEN 10 + total + t.tokens > 60 OR 10 + greatest(top, t.tokens) > 40 THEN t.tokens ELSE greatest(top, t.tokens) END
+        FROM b JOIN t ON t.unit_id = b.unit_id AND t.n = b.n + 1)
+    SELECT unit_id, q_key, tokens, batch::INT AS batch FROM b
+    """,
+)
 def question_batches(spark: SparkSession, d: str) -> DataFrame:
     """The questions of each unit in batches of at most 60 estimated tokens."""
     q = questions(spark, d).withColumn("tokens", S.token_estimate(F.concat_ws(" ", "q_key", "kind")))
