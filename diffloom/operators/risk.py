@@ -12,12 +12,12 @@ def snapped_complement(p: Column) -> Column:
     return F.floor(F.round((F.lit(1.0) - F.least(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))) * 1e6, 3) + 0.5) / 1e6
 
 
-def noisy_or(df: DataFrame, *keys: str, p: str = "p") -> DataFrame:
-    """(keys.., risk, n): one minus the product of (1 - p) per key, rounded to 6 places.
+def noisy_or(df: DataFrame, *keys: str, p: str = "p", also: tuple[Column, ...] = ()) -> DataFrame:
+    """(keys.., risk, n, also..): one minus the product of (1 - p) per key, rounded to 6 places.
 
-    A map-side product: rows combine before the shuffle, however many a key has.
+    A map-side product: rows combine before the shuffle, however many a key has. ``also`` are more aggregates.
     """
-    return df.groupBy(*keys).agg(round_to(F.lit(1.0) - F.product(snapped_complement(F.col(p)))).alias("risk"), F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*keys).agg(round_to(F.lit(1.0) - F.product(snapped_complement(F.col(p)))).alias("risk"), F.count(F.lit(1)).alias("n"), *also)
 
 
 def maxima(df: DataFrame, *keys: str, name: str, value: str) -> DataFrame:

@@ -107,31 +107,37 @@ def band(p: Column, profile: str = "balanced") -> Column:
 
 
 def top_rules(matches: DataFrame, key: str, k: int = MAX_RULES_PER_UNIT) -> DataFrame:
-    """(key, rule_id, rank, truncated): the ``k`` most urgent rules of each unit, by severity and id; the rest is counted."""
+    """(key, rule_id, rank, truncated): the ``k`` most urgent rules of each unit, by severity and id; the rest is counted.
+
+    Rank and count share one window partition, so there is one shuffle after the counts per rule.
+    """
     per = matches.groupBy(key, "rule_id").agg(F.max(severity_rank(F.col("severity"))).alias("_s"))
-    ranked = per.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_s"), "rule_id")))
-    counted = per.groupBy(key).agg(F.greatest(F.count(F.lit(1)) - k, F.lit(0)).alias("truncated"))
-    return ranked.where(F.col("rank") <= k).join(counted, key).select(key, "rule_id", "rank", "truncated")
+    whole = Window.partitionBy(key)
+    ranked = per.withColumn("rank", F.row_number().over(whole.orderBy(F.desc("_s"), "rule_id"))).withColumn("truncated", F.greatest(F.count(F.lit(1)).over(whole) - k, F.lit(0)))
+    return ranked.where(F.col("rank") <= k).select(key, "rule_id", "rank", "truncated")
 
 
-def findings(matches: DataFrame, path: str = "path", profile: str = "balanced") -> DataFrame:
-    """Matches at or above the uncertain threshold, one per (path, line, category), with the ids of those it beat.
+def findings(matches: DataFrame, *keys: str, profile: str = "balanced") -> DataFrame:
+    """Matches at or above the uncertain threshold, one per (keys, line, category), with the ids of those it beat.
 
-    The best has the largest p_eff times (severity rank + 1), then the smallest rule id. Units that overlap find the
-    same line twice; it counts once.
+    ``keys`` name the file. The best has the largest p_eff times (severity rank + 1), then the smallest rule id. Units
+    that overlap find the same line twice; it counts once. One shuffle serves both the distinct rules and the ranking.
     """
-    kept = matches.withColumn("band", band(F.col("p_eff"), profile)).where("band <> 'drop'")
-    score = round_to(F.col("p_eff") * (severity_rank(F.col("severity")) + 1))
-    one = kept.groupBy(path, "line_no", "category", "rule_id").agg(*(F.max(c).alias(c) for c in ("severity", "p_eff", "band")))
-    w = Window.partitionBy(path, "line_no", "category").orderBy(F.desc(score), "rule_id")
+    place = [*keys, "line_no", "category"]
+    kept = matches.where(F.col("p_eff") >= PROFILES[profile][1]).repartition(*place)
+    one = kept.groupBy(*place, "rule_id", "severity").agg(F.max("p_eff").alias("p_eff"))
+    w = Window.partitionBy(*place).orderBy(F.desc(round_to(F.col("p_eff") * (severity_rank(F.col("severity")) + 1))), "rule_id")
     related = F.collect_list("rule_id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     best = one.withColumn("_n", F.row_number().over(w)).withColumn("_all", related).where("_n = 1")
-    fp = fingerprint(F.col("rule_id"), F.col(path), F.col("line_no").cast("string"))
-    return best.select(path, "line_no", "category", "rule_id", "severity", "p_eff", "band", F.array_join(F.slice("_all", F.lit(2), F.size("_all")), ",").alias("related"), fp.alias("fingerprint"))
+    fp = fingerprint(F.col("rule_id"), F.col(keys[-1]), F.col("line_no").cast("string"))
+    beaten = F.array_join(F.slice("_all", F.lit(2), F.size("_all")), ",")
+    return best.select(*place, "rule_id", "severity", "p_eff", band(F.col("p_eff"), profile).alias("band"), beaten.alias("related"), fp.alias("fingerprint"))
 
 
-def ordered(found: DataFrame, path: str = "path", limit: int | None = None) -> DataFrame:
-    """Findings by severity and p_eff descending, then path, line and rule, with their ``place``; ``limit`` keeps the top."""
-    by = (F.desc(severity_rank(F.col("severity"))), F.desc("p_eff"), path, "line_no", "rule_id", "category")
-    top = found.orderBy(*by).limit(limit) if limit else found
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*by))) if limit else top.orderBy(*by)
+def ordered(found: DataFrame, *keys: str, limit: int) -> DataFrame:
+    """The first ``limit`` findings with their ``place``: severity and p_eff descending, then path, line, rule, the rest.
+
+    The limit is taken before the places are given, so only that many rows meet in one task.
+    """
+    by = (F.desc(severity_rank(F.col("severity"))), F.desc("p_eff"), keys[-1], "line_no", "rule_id", "category", *keys[:-1])
+    return found.orderBy(*by).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*by)))

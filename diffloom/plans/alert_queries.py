@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from diffloom.functions import scalars as S
 from diffloom.operators import alerts, badrows
 from diffloom.plans.registry import query, r6
-from diffloom.session import staged, table
+from diffloom.session import spread_table, staged, table
 
 
 _FIELD = """'(?:"(?:[^"]|"")*"|[^"' || d || '\\r\\n]*)'"""
@@ -28,7 +28,7 @@ _BAD_SQL = f"WITH {_PARSED_SQL} SELECT DISTINCT raw_id FROM k WHERE NOT valid"
 
 def _alerts(spark: SparkSession, d: str) -> DataFrame:
     """Valid alerts with their repository."""
-    raw = table(spark, d, "static_alert_lines")
+    raw = spread_table(spark, d, "static_alert_lines")
     return badrows.load_alerts(raw, table(spark, d, "alert_feeds")).join(raw.select("raw_id", "repo"), "raw_id").where("repo IS NOT NULL")
 
 
@@ -40,20 +40,20 @@ def _added(spark: SparkSession, d: str) -> DataFrame:
 @query("p2_found", _BAD_SQL)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Records of static-analysis exports that aren't valid."""
-    return badrows.bad_records(table(spark, d, "static_alert_lines"), table(spark, d, "alert_feeds")).select("raw_id")
+    return badrows.bad_records(spread_table(spark, d, "static_alert_lines"), table(spark, d, "alert_feeds")).select("raw_id")
 
 
 @query("p2_reasons")
 def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
     """The same records with every reason."""
-    bad = badrows.bad_records(table(spark, d, "static_alert_lines"), table(spark, d, "alert_feeds"))
+    bad = badrows.bad_records(spread_table(spark, d, "static_alert_lines"), table(spark, d, "alert_feeds"))
     return bad.select("raw_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("p2_alerts", f"WITH {_PARSED_SQL} SELECT * EXCLUDE (repo) FROM g")
 def p2_alerts(spark: SparkSession, d: str) -> DataFrame:
     """The valid records as typed alerts."""
-    return badrows.load_alerts(table(spark, d, "static_alert_lines"), table(spark, d, "alert_feeds"))
+    return badrows.load_alerts(spread_table(spark, d, "static_alert_lines"), table(spark, d, "alert_feeds"))
 
 
 @query(

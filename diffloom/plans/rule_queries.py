@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from diffloom.functions import scalars as S
 from diffloom.operators import admission, alerts, risk, rules
 from diffloom.operators.rules import PACK, PROFILES
-from diffloom.plans.line_queries import _UNIT_LINES, unit_lines
+from diffloom.plans.line_queries import _UNIT_LINES
 from diffloom.plans.registry import query, r6
-from diffloom.session import table
+from diffloom.session import spread_table, staged, table
 from diffloom.sources import sinks
+from diffloom.sources.text import exploded_lines
 
 
 def _q(x: str) -> str:
@@ -47,15 +48,15 @@ _FINDINGS = f"""{_MATCHES},
 
 
 def matches(spark: SparkSession, d: str) -> DataFrame:
-    """Every rule hit on every unit line."""
-    return rules.rule_matches(unit_lines(spark, d), "unit_id", "repo", "path")
+    """Every rule hit on every unit line, once: units sent again repeat their hits, which are far fewer than lines."""
+    lines = exploded_lines(spread_table(spark, d, "review_units"), "source_lines", "unit_id", "repo", "path", "language_id", start=F.col("start_line"))
+    return rules.rule_matches(lines, "unit_id", "repo", "path").dropDuplicates(["unit_id", "line_no", "rule_id"])
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
     """Findings of all units, one per (repo, path, line, category)."""
-    place = F.concat_ws("\u0000", "repo", "path")
-    f = rules.findings(matches(spark, d).withColumn("place", place), "place")
-    return f.withColumn("repo", F.split_part("place", F.lit("\u0000"), F.lit(1))).withColumn("path", F.split_part("place", F.lit("\u0000"), F.lit(2))).drop("place", "fingerprint").withColumn("fingerprint", S.fingerprint(F.col("rule_id"), F.col("path"), F.col("line_no").cast("string")))
+    lines = exploded_lines(spread_table(spark, d, "review_units"), "source_lines", "repo", "path", "language_id", start=F.col("start_line"))
+    return rules.findings(rules.rule_matches(lines, "repo", "path"), "repo", "path")
 
 
 @query("rule_match", f"WITH {_MATCHES} SELECT unit_id, line_no, rule_id, category, severity, p_eff FROM m")
@@ -98,11 +99,7 @@ def finding_rows(spark: SparkSession, d: str) -> DataFrame:
 )
 def findings_top(spark: SparkSession, d: str) -> DataFrame:
     """O1, O2: the first hundred findings in report order."""
-    f = found(spark, d)
-    by = (F.desc(S.severity_rank(F.col("severity"))), F.desc("p_eff"), "path", "line_no", "rule_id", "category", "repo")
-    from pyspark.sql import Window
-
-    return f.orderBy(*by).limit(100).withColumn("place", F.row_number().over(Window.orderBy(*by))).select("place", "repo", "path", "line_no", "rule_id")
+    return rules.ordered(found(spark, d), "repo", "path", limit=100).select("place", "repo", "path", "line_no", "rule_id")
 
 
 @query(
@@ -124,8 +121,7 @@ def banding(spark: SparkSession, d: str) -> DataFrame:
 )
 def file_risk(spark: SparkSession, d: str) -> DataFrame:
     """A2, A3: noisy-OR risk per file, and which need a closer look although nothing is reported."""
-    f = found(spark, d)
-    both = risk.noisy_or(f, "repo", "path", p="p_eff").join(f.groupBy("repo", "path").agg(F.count_if(F.col("band") == "report").alias("_r")), ["repo", "path"])
+    both = risk.noisy_or(found(spark, d), "repo", "path", p="p_eff", also=(F.count_if(F.col("band") == "report").alias("_r"),))
     return both.select("repo", "path", "risk", F.col("n").alias("findings"), ((F.col("risk") >= 0.8) & (F.col("_r") == 0)).alias("deep_review"))
 
 
@@ -182,9 +178,9 @@ def publish_plan(spark: SparkSession, d: str) -> DataFrame:
 )
 def drift(spark: SparkSession, d: str) -> DataFrame:
     """How many (unit, rule) bands differ between the best and the worst hit, as two runs."""
-    m = matches(spark, d).groupBy("unit_id", "rule_id")
-    before = m.agg(F.max("p_eff").alias("p")).select("unit_id", "rule_id", rules.band(F.col("p")).alias("band"))
-    after = m.agg(F.min("p_eff").alias("p")).select("unit_id", "rule_id", rules.band(F.col("p")).alias("band"))
+    runs = staged(matches(spark, d).groupBy("unit_id", "rule_id").agg(F.max("p_eff").alias("p"), F.min("p_eff").alias("q")), "runs")
+    before = runs.select("unit_id", "rule_id", rules.band(F.col("p")).alias("band"))
+    after = runs.select("unit_id", "rule_id", rules.band(F.col("q")).alias("band"))
     return alerts.band_drift(before, after, "unit_id", "rule_id").withColumn("rate", S.round_to(F.col("rate")))
 
 

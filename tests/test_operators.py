@@ -205,7 +205,7 @@ def test_rules(spark):
 def test_findings_keep_the_best(spark):
     rows = [("a", 1, "r.two", "c", "low", 0.9), ("a", 1, "r.one", "c", "low", 0.9), ("a", 1, "r.one", "c", "low", 0.9), ("a", 1, "r.three", "c", "high", 0.8), ("a", 1, "r.four", "d", "low", 0.3)]
     df = spark.createDataFrame(rows, "path string, line_no int, rule_id string, category string, severity string, p_eff double")
-    got = rules.findings(df).collect()
+    got = rules.findings(df, "path").collect()
     assert [(r["rule_id"], r["related"], r["band"]) for r in got] == [("r.three", "r.one,r.two", "report")]
 
 
