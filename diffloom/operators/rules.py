@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -89,15 +90,17 @@ def rule_matches(lines: DataFrame, *keep: str, rules: tuple[Rule, ...] = PACK) -
     language_id, path, line_no and line; null lines hit nothing.
     """
     language, path, line = F.lower("language_id"), F.col("path"), F.col("line")
+    hits = [_applies(r, language, path) & line.rlike(r.pattern) for r in rules]
 
-    def hit(r: Rule) -> Column:
+    def outcome(r: Rule) -> Column:
         guard = F.when(line.rlike(r.guard), F.lit(HIT)).otherwise(F.lit(MISS)) if r.guard else F.lit(0.0)
         eff = round_to(F.lit(HIT) * F.pow(F.lit(1.0) - guard, F.lit(r.guard_weight)))
-        row = F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(HIT).alias("p"), guard.alias("guard_p"), eff.alias("p_eff"))
-        return F.when(_applies(r, language, path) & line.rlike(r.pattern), row)
+        return F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(HIT).alias("p"), guard.alias("guard_p"), eff.alias("p_eff"))
 
-    found = F.filter(F.array(*map(hit, rules)), lambda x: x.isNotNull())
-    return lines.select(*keep, "line_no", F.explode(found).alias("m")).select(*keep, "line_no", "m.*")
+    # the filter is compiled code and leaves few lines; only those are looked at once more to tell which rules hit
+    some = lines.where(reduce(Column.__or__, hits))
+    each = F.array(*(F.when(h, outcome(r)) for h, r in zip(hits, rules)))
+    return some.select(*keep, "line_no", F.explode(each).alias("m")).where("m IS NOT NULL").select(*keep, "line_no", "m.*")
 
 
 def band(p: Column, profile: str = "balanced") -> Column:
