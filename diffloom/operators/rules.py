@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diffloom.functions.scalars import HIT, MISS, fingerprint, round_to, severity_rank
-from diffloom.operators.gate import matches_globs
+from diffloom.operators.gate import glob_regex
 
 #: Probability of a rule without a hit, and of one that always applies.
 NO_HIT, ALWAYS = 0.1, 0.2
@@ -74,13 +74,31 @@ def lint(rules: tuple[Rule, ...] = PACK) -> list[tuple[str, str]]:
     return issues
 
 
-def _applies(rule: Rule, language: Column, path: Column) -> Column:
-    ok = F.lit(True)
-    if rule.languages:
-        ok = ok & F.coalesce(language.isin(*rule.languages), F.lit(False))
-    if rule.paths:
-        ok = ok & matches_globs(path, list(rule.paths))
-    return ok
+def _text(x: str) -> str:
+    """A SQL string literal."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _hits(r: Rule) -> str:
+    """SQL for whether a rule applies to and hits a line."""
+    parts = [f"line RLIKE {_text(r.pattern)}"]
+    if r.languages:
+        parts.insert(0, f"lower(language_id) IN ({', '.join(map(_text, r.languages))})")
+    if r.paths:
+        globs = "|".join(f"(?i)^{glob_regex(g)}$" for g in r.paths)
+        parts.insert(0, f"translate(path, {_text(chr(92))}, '/') RLIKE {_text(globs)}")
+    return "(" + " AND ".join(parts) + ")"
+
+
+def _outcome(r: Rule) -> str:
+    """SQL for what a hit is worth. Both outcomes of the guard are worked out beforehand."""
+    worth = lambda g: f"{math.floor(HIT * (1 - g) ** r.guard_weight * 1e6 + 0.5) / 1e6!r}D"
+    if r.guard:
+        guarded = f"line RLIKE {_text(r.guard)}"
+        guard, eff = f"if({guarded}, {HIT}D, {MISS}D)", f"if({guarded}, {worth(HIT)}, {worth(MISS)})"
+    else:
+        guard, eff = "0D", worth(0.0)
+    return f"named_struct('rule_id', {_text(r.id)}, 'category', {_text(r.category)}, 'severity', {_text(r.severity)}, 'p', {HIT}D, 'guard_p', {guard}, 'p_eff', {eff})"
 
 
 def rule_matches(lines: DataFrame, *keep: str, rules: tuple[Rule, ...] = PACK) -> DataFrame:
@@ -89,18 +107,10 @@ def rule_matches(lines: DataFrame, *keep: str, rules: tuple[Rule, ...] = PACK) -
     All rules are one projection over the lines: no join and no Python, whatever their number. ``lines`` has
     language_id, path, line_no and line; null lines hit nothing.
     """
-    language, path, line = F.lower("language_id"), F.col("path"), F.col("line")
-    hits = [_applies(r, language, path) & line.rlike(r.pattern) for r in rules]
-
-    def outcome(r: Rule) -> Column:
-        guard = F.when(line.rlike(r.guard), F.lit(HIT)).otherwise(F.lit(MISS)) if r.guard else F.lit(0.0)
-        eff = round_to(F.lit(HIT) * F.pow(F.lit(1.0) - guard, F.lit(r.guard_weight)))
-        return F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(HIT).alias("p"), guard.alias("guard_p"), eff.alias("p_eff"))
-
     # the filter is compiled code and leaves few lines; only those are looked at once more to tell which rules hit
-    some = lines.where(reduce(Column.__or__, hits))
-    each = F.array(*(F.when(h, outcome(r)) for h, r in zip(hits, rules)))
-    return some.select(*keep, "line_no", F.explode(each).alias("m")).where("m IS NOT NULL").select(*keep, "line_no", "m.*")
+    some = lines.where(" OR ".join(map(_hits, rules)))
+    each = ", ".join(f"CASE WHEN {_hits(r)} THEN {_outcome(r)} END" for r in rules)
+    return some.select(*keep, "line_no", F.expr(f"explode(array({each}))").alias("m")).where("m IS NOT NULL").select(*keep, "line_no", "m.*")
 
 
 def band(p: Column, profile: str = "balanced") -> Column:

@@ -21,6 +21,7 @@ def build_session(cpus: int | None = None, app: str = "diffloom") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # recording where each Column is made slows plan building
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
