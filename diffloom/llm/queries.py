@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from diffloom.llm import encode, generated, lookalike, pack, secrets, split, syntax
-from diffloom.session import staged, table
+from diffloom.session import spread_table, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Those files with what gave them away."""
-    return generated.unwritten_files(table(spark, d, "changed_files"), table(spark, d, "gate_options"))
+    return generated.unwritten_files(spread_table(spark, d, "changed_files"), table(spark, d, "gate_options"))
 
 
 def p1_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -47,27 +47,27 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_faults(spark: SparkSession, d: str) -> DataFrame:
     """Those cases with the first fault and its line."""
-    return syntax.source_faults(table(spark, d, "eval_cases")).where("reason IS NOT NULL")
+    return syntax.source_faults(spread_table(spark, d, "eval_cases")).where("reason IS NOT NULL")
 
 
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     """Files, faulty files and their rate per repository and language."""
-    return syntax.fault_rates(syntax.source_faults(table(spark, d, "eval_cases")))
+    return syntax.fault_rates(syntax.source_faults(spread_table(spark, d, "eval_cases")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines on which a secret begins."""
-    return secrets.find_secrets(table(spark, d, "review_units"), with_text=False).where(F.size("kinds") > 0).select("unit_id", "line_no")
+    return secrets.find_secrets(spread_table(spark, d, "review_units"), with_text=False).where(F.size("kinds") > 0).select("unit_id", "line_no")
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     """All lines that change, redacted."""
-    return secrets.find_secrets(table(spark, d, "review_units"))
+    return secrets.find_secrets(spread_table(spark, d, "review_units"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
-    return encode.token_ids(table(spark, d, "documents"))
+    return encode.token_ids(spread_table(spark, d, "documents"))
 
 
 def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +79,7 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Documents in containers of 2,048 tokens."""
-    return pack.pack(encode.token_counts(table(spark, d, "documents")))
+    return pack.pack(encode.token_counts(spread_table(spark, d, "documents")))
 
 
 def p7_use(spark: SparkSession, d: str) -> DataFrame:
@@ -90,12 +90,12 @@ def p7_use(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look the same but differ in characters."""
-    return lookalike.lookalike_pairs(table(spark, d, "documents"))
+    return lookalike.lookalike_pairs(spread_table(spark, d, "documents"))
 
 
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     """The one form of each document's text."""
-    return lookalike.forms(table(spark, d, "documents")).select("doc_id", "form")
+    return lookalike.forms(spread_table(spark, d, "documents")).select("doc_id", "form")
 
 
 QUERIES: dict[str, Query] = {
