@@ -17,6 +17,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from diffloom.operators.gate import detected_language
 from diffloom.session import staged
 
 # Keywords whose lines are looked at. All in lower case; matching ignores case.
@@ -285,8 +286,9 @@ _SEPARATOR = "\u001e"
 def find_secrets(units: DataFrame, with_text: bool = True) -> DataFrame:
     """(unit_id, line_no, kinds, text): lines with secrets, with the secret replaced; once per line.
 
-    ``kinds`` is empty for the later lines of a private key. Null lines are empty; null or empty line lists give
-    nothing; units sent again and repeated rows count once. Only lines with a secret leave the Python workers.
+    A missing language is taken from the path, if there is one. ``kinds`` is empty for the later lines of a private
+    key. Null lines are empty; null or empty line lists give nothing; units sent again and repeated rows count once.
+    Only lines with a secret leave the Python workers.
     """
 
     def run(batches):
@@ -301,8 +303,11 @@ def find_secrets(units: DataFrame, with_text: bool = True) -> DataFrame:
 
     schema = pa.schema([("unit_id", pa.int64()), ("line_no", pa.int32()), ("kinds", pa.list_(pa.string())), ("text", pa.string())])
     lines = F.array_join(F.transform("source_lines", lambda x: F.translate(F.coalesce(x, F.lit("")), _SEPARATOR, " ")), _SEPARATOR)
+    language = F.lower("language_id")
+    if "path" in units.columns:
+        language = F.coalesce(language, detected_language(F.col("path"), F.lit(None).cast("string")))
     given = units.where(F.col("start_line").isNotNull() & (F.size("source_lines") > 0))
-    given = given.select(F.col("unit_id").cast("long"), F.col("start_line").cast("int"), F.lower("language_id").alias("language_id"), lines.alias("lines"))
+    given = given.select(F.col("unit_id").cast("long"), F.col("start_line").cast("int"), language.alias("language_id"), lines.alias("lines"))
     hits = given.mapInArrow(run, "unit_id bigint, line_no int, kinds array<string>, text string")
     return hits.dropDuplicates(["unit_id", "line_no"])
 
