@@ -67,6 +67,29 @@ def test_copies_and_families(spark):
     assert 35 not in got and 36 not in got
 
 
+def revision(k):
+    """A library of 40 functions of which the first 2 k have been rewritten."""
+    word = lambda i: "later" if i < 2 * k else "early"
+    return "\n".join(f"def part_{i}({word(i)}{i}, other{i}):\n    kept{i} = {word(i)}{i}.read_{i}() + other{i}.at_{i}\n    return kept{i} * {i}{i} if {word(i)}_{i} else None" for i in range(40))
+
+
+def test_revisions_are_one_component(spark):
+    files = [("r1", f"lib/v{k}/sorrel.py", revision(k)) for k in range(5)] + [("r2", "lib/sorrel.py", revision(5))]
+    files += [("r1", f"own/v{k}/yarrow.py", revision(k).replace("part_", "own_").replace("read_", "load_").replace("kept", "sum")) for k in range(3)]
+    assert found(spark, files) == {i: "copy" for i in range(6)}
+
+
+def test_components(spark):
+    rnd = random.Random(3)
+    pairs = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)]
+    got = {r["class"]: r["component"] for r in generated.components(spark.createDataFrame(pairs, "class long, centre long")).collect()}
+    want = {x: {x} for p in pairs for x in p}
+    for a, b in pairs:
+        both = want[a] | want[b]
+        want.update(dict.fromkeys(both, both))
+    assert got == {x: min(c) for x, c in want.items()}
+
+
 def test_no_files_and_hot_copies(spark):
     assert found(spark, [("r", "a.py", None)]) == {}
     assert found(spark, [("r", f"src/a{i}.ts", CODE) for i in range(60)]) == {}
