@@ -67,6 +67,16 @@ def test_copies_and_families(spark):
     assert 35 not in got and 36 not in got
 
 
+LICENCE = "".join(f" * Line {i} of a licence text that goes on and on, without any warranty.\n" for i in range(40))
+
+
+def test_marks_behind_a_licence():
+    assert generated.evidence("src/a.ts", f"/*\n{LICENCE} */\n\n// Code generated by tool v1.2. DO NOT EDIT.\n" + CODE * 3) == "generated"
+    assert generated.evidence("src/a.ts", f"/*\n{LICENCE[:900]} */\n// Copied from mossy 1.2\n" + CODE) == "vendored"
+    assert generated.evidence("api/a.yaml", "# Code generated by tool v1.2. DO NOT EDIT.\na: 1\n") == "generated"
+    assert generated.evidence("api/a.yaml", "# mossy 1.2 | (c) others\na: 1\n") is None and generated.evidence("src/a.ts", f"/*\n{LICENCE} */\n" + CODE) is None
+
+
 def revision(k):
     """A library of 40 functions of which the first 2 k have been rewritten."""
     word = lambda i: "later" if i < 2 * k else "early"
