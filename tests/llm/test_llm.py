@@ -77,6 +77,14 @@ def test_marks_behind_a_licence():
     assert generated.evidence("api/a.yaml", "# mossy 1.2 | (c) others\na: 1\n") is None and generated.evidence("src/a.ts", f"/*\n{LICENCE} */\n" + CODE) is None
 
 
+def test_literal_clusters(spark):
+    names = [f"{a}{b}" for a in ("ar", "bel", "cor", "dun") for b in ("go", "land", "mark", "via", "ton")]
+    objects = "export const PLACES = [\n" + "".join(f'  {{ name: "{x}", code: {i}, open: true }},\n' for i, x in enumerate(names)) + "];\n"
+    files = [("r", "a.ts", objects), ("r", "b.py", "WORDS = [\n" + "".join(f'    "{x}",\n' for x in names * 2) + "]\n"), ("r", "c.py", "PAIRS = (\n" + "".join(f'    ("{x}", {i}),\n' for i, x in enumerate(names)) + ")\n")]
+    files += [("r", "d.ts", CODE), ("r", "e.json", "[" + ", ".join(f'"{x}"' for x in names * 2) + "]"), ("r", "f.ts", "".join(f'call{i}("{x}", {i});\n' for i, x in enumerate(names)))]
+    assert found(spark, files) == {0: "data", 1: "data", 2: "data"}
+
+
 def revision(k):
     """A library of 40 functions of which the first 2 k have been rewritten."""
     word = lambda i: "later" if i < 2 * k else "early"
