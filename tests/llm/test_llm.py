@@ -85,6 +85,14 @@ def test_literal_clusters(spark):
     assert found(spark, files) == {0: "data", 1: "data", 2: "data"}
 
 
+def test_short_and_renamed_copies(spark):
+    patched = library("fennel").replace("field_3", "field_x")
+    files = [("r1", "lib/fennel.py", library("fennel")), ("r2", "own/patched.py", patched), ("r1", "a/tiny.ts", "export const tiny = pick(1);"), ("r2", "b/tiny.ts", "export const tiny = pick(1);")]
+    files += [(f"r{i}", f"x/n{i}.ts", CODE[:420]) for i in range(3)] + [(f"r{i}", f"x/m{i}.ts", CODE[:420].replace("rows", "cells")) for i in range(2)]
+    files += [("r1", "a/one.ts", "let a = 1;"), ("r2", "a/two.ts", "let a = 1;"), ("r1", "own.py", library("sage"))]
+    assert found(spark, files) == dict.fromkeys(range(7), "copy")
+
+
 def revision(k):
     """A library of 40 functions of which the first 2 k have been rewritten."""
     word = lambda i: "later" if i < 2 * k else "early"
