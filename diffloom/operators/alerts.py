@@ -8,6 +8,8 @@ from diffloom.operators.skew import SALTS
 
 #: Lines per bucket of the range join; a span is repeated once per bucket it touches.
 BUCKET = 256
+#: Letters of a stem by which it meets the names that may contain it.
+GRAM = 8
 
 
 def alerts_on_lines(alerts: DataFrame, added: DataFrame) -> DataFrame:
@@ -66,13 +68,20 @@ def request_key(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
 
 
-def related(names: DataFrame, others: DataFrame, key: str, name: str, other: str, other_name: str) -> DataFrame:
-    """(key, other): pairs where ``other_name`` holds ``name`` as a whole word part, split at every non-letter.
+def related(files: DataFrame, tests: DataFrame, group: str = "repo") -> DataFrame:
+    """(file_id, test): tests (group, path, base) of a file's group whose base name contains the file's whole stem.
 
-    The words of ``other_name`` are exploded and joined by equality, instead of testing each pair.
+    ``files`` are (file_id, group, path, stem); a file isn't its own test, letter case counts, and an empty stem is in
+    every name. The first GRAM letters of each stem meet all such pieces of the base names by equality, and the pairs
+    are then held to the whole stem; stems and base names are each joined once, however many files bear them.
     """
-    words = others.select(other, F.explode(F.array_distinct(F.split(F.lower(other_name), r"[^a-z]+"))).alias("_w")).where("_w <> ''")
-    return names.select(key, F.lower(name).alias("_w")).join(words, "_w").select(key, other).distinct()
+    stems = files.select(group, "stem").distinct().withColumn("_gram", F.substring("stem", 1, GRAM))
+    names = tests.select(group, "base").distinct()
+    pieces = names.select(group, "base", F.explode(F.sequence(F.lit(1), F.length("base"))).alias("_at")).withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(GRAM))))
+    pieces = pieces.select(group, "base", F.expr("substring(base, _at, _n)").alias("_gram")).distinct()
+    held = stems.join(pieces, [group, "_gram"]).where(F.col("base").contains(F.col("stem"))).select(group, "stem", "base")
+    of = files.select("file_id", group, "path", "stem").join(held, [group, "stem"])
+    return of.join(tests.select(group, "base", F.col("path").alias("test")).distinct(), [group, "base"]).where("path <> test").select("file_id", "test").distinct()
 
 
 def first_per_key(df: DataFrame, *keys: str, order: list[Column]) -> DataFrame:

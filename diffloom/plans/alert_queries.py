@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from diffloom.functions import scalars as S
-from diffloom.operators import alerts, badrows
+from diffloom.operators import alerts, badrows, gate
 from diffloom.plans.registry import query, r6
 from diffloom.session import spread_table, staged, table
 
@@ -165,3 +165,21 @@ def related_tests(spark: SparkSession, d: str) -> DataFrame:
     words = f.select("file_id", "repo", "stem", F.explode(F.array_distinct(F.split("stem", "[^a-z]+"))).alias("word")).where(F.length("word") > 3)
     test = F.col("stem").rlike("^test_|test$") | F.col("stem").startswith("test") & (F.length("stem") > 4) & F.col("stem").rlike("^test.")
     return words.groupBy("repo", "word").agg(F.countDistinct("file_id").alias("files"), F.countDistinct(F.when(test, F.col("file_id"))).alias("tests"))
+
+
+@query(
+    "related_pairs",
+    r"""
+    WITH p AS (SELECT file_id, repo, replace(path, chr(92), '/') AS path FROM changed_files),
+    f AS (SELECT *, string_split(path, '/')[-1] AS base, regexp_replace(string_split(path, '/')[-1], '\.[^.]+$', '') AS stem FROM p),
+    t AS (SELECT DISTINCT repo, path, base FROM f WHERE regexp_matches(path, '(?i)(\.test\.ts|_test\.go|(^|/)test_[^/]*\.py)$|(^|/)(src/test|tests)/'))
+    SELECT DISTINCT file_id, t.path AS test FROM f JOIN t ON f.repo = t.repo AND contains(t.base, f.stem) AND f.path <> t.path
+    """,
+)
+def related_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each changed file with the changed tests of its repository whose base name contains its whole stem."""
+    path = S.slashed(F.col("path"))
+    f = table(spark, d, "changed_files").select("file_id", "repo", path.alias("path"), S.basename(F.col("path")).alias("base"))
+    f = f.withColumn("stem", F.regexp_replace("base", r"\.[^.]+$", ""))
+    tests = f.where(gate.matches_globs(F.col("path"), gate.glob_lists(table(spark, d, "gate_options")).get("test_globs", [])))
+    return alerts.related(f, tests)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -304,3 +305,13 @@ def test_streams_take_new_files_only(spark, tmp_path):
     spark.createDataFrame([(1, 1, 700), (1, 2, 400), (2, 3, 1)], "u int, e int, c long").write.parquet(path)
     got = {r["e"]: r["admitted"] for r in jobs.budgeted(jobs.arriving(spark, path), "u", "e", "c", 1000).collect()}
     assert got == {1: True, 2: False, 3: True}
+
+
+def test_related_tests_hold_the_whole_stem(spark):
+    paths = ["src/api.ts", "tests/api.test.ts", "src/v2.py", "tests/test_v2_client.py", "src/client.py", "src/.env", "src/rather_long_name.go", "src/rather_long_name_test.go", "src/rather_long_nape.go", "src/API.ts", "src/v2_clean.py"]
+    f = spark.createDataFrame([(i, "a", p, p.split("/")[-1], re.sub(r"\.[^.]+$", "", p.split("/")[-1])) for i, p in enumerate(paths)], "file_id int, repo string, path string, base string, stem string")
+    other = spark.createDataFrame([("b", "tests/client.test.ts", "client.test.ts")], "repo string, path string, base string")
+    tests = f.where("path LIKE '%test%'").select("repo", "path", "base").unionByName(other)
+    got = {(r["file_id"], r["test"]) for r in alerts.related(f, tests).collect()}
+    names = [p for p in paths if "test" in p]
+    assert got == {(0, names[0]), (2, names[1]), (4, names[1]), (6, names[2]), *((5, x) for x in names)}
