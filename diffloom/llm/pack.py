@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from diffloom.session import staged
 
 CAPACITY = 2048
-#: Parts into which the items of one size are spread for ranking, so that a size held by many items isn't one task.
-_SPREAD = 64
 
 
 class _Sizes:
@@ -125,16 +125,33 @@ def pieces(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return cut.withColumn("size", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("int"))
 
 
+def numbered(cut: DataFrame, capacity: int) -> DataFrame:
+    """``cut`` with its partition and the rank of each row among the rows of its size in that partition."""
+
+    def run(batches):
+        seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        for b in batches:
+            size = b.column("size").to_numpy()
+            by_size = np.argsort(size, kind="stable")
+            found, first, n = np.unique(size[by_size], return_index=True, return_counts=True)
+            rank = np.empty(len(size), np.int64)
+            rank[by_size] = np.arange(len(size)) - np.repeat(first, n) + np.repeat(seen[found], n)
+            seen[found] += n
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), part), pa.int32()), pa.array(rank)], names=[*b.schema.names, "_part", "_rank"])
+
+    return cut.mapInArrow(run, T.StructType(cut.schema.fields).add("_part", T.IntegerType()).add("_rank", T.LongType()))
+
+
 def pack(items: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """(container, key, piece, size) from ``items`` (row_id, key, size).
 
     Items without size (null, 0 or less) are left out; an item above ``capacity`` is cut into full pieces and a rest;
     repeated rows are items of their own. Empty input gives an empty result. Only the counts of the at most
-    ``capacity`` distinct sizes reach the driver.
+    ``capacity`` distinct sizes reach the driver. Ranks within a size are counted in each partition and moved by the
+    counts of the partitions before it, so a size that most items have is not gathered anywhere.
     """
     spark = items.sparkSession
-    cut = pieces(items.select("row_id", key, "size"), capacity).withColumn("_part", F.pmod(F.xxhash64("row_id", "piece"), F.lit(_SPREAD)))
-    cut = staged(cut, "sizes")
+    cut = staged(numbered(pieces(items.select(key, "size"), capacity), capacity), "sizes")
     per_part = cut.groupBy("size", "_part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -147,6 +164,5 @@ def pack(items: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
         at = np.searchsorted(keys, (size.to_numpy(np.int64) << 44) + rank.to_numpy(np.int64), side="right") - 1
         return pd.Series(base[at] + (rank.to_numpy(np.int64) - start[at]) // times[at])
 
-    within = Window.partitionBy("size", "_part").orderBy("row_id", "piece")
-    ranked = cut.withColumn("_rank", F.row_number().over(within) - 1).join(offsets.drop("n"), ["size", "_part"])
+    ranked = cut.join(offsets.drop("n"), ["size", "_part"])
     return ranked.select(container("size", F.col("_rank") + F.col("_before")).alias("container"), key, "piece", "size")
