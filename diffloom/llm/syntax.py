@@ -1,14 +1,14 @@
 """Source files that do not parse: language-specific lexers with a pushdown stack.
 
-A lexer walks each source once; delimiters, interpolations and template parts go on a stack. Unterminated literals,
-unbalanced delimiters, merge-conflict markers, stray characters, premature ends and text of another language are
-reported with the line. Python and JSON sources that pass are then given to an exact parser.
+A lexer walks each source once; delimiters, interpolations, template parts, JSX elements, indentation (Python) and the
+parts of objects and arrays (JSON) go on a stack. Unterminated literals, unbalanced delimiters, merge-conflict markers,
+stray characters, premature ends, misplaced lines and text of another language are reported with the line. For Python an
+exact parser gives a second opinion afterwards; what it can't judge for size or depth is left to the stack.
 """
 
 from __future__ import annotations
 
 import ast
-import json
 import re
 import warnings
 
@@ -29,17 +29,17 @@ _BLOCK = r"/\*[\s\S]*?\*/"
 
 
 def _lexer(comment: str, string: str, word: str = _WORD, op: str = r"[^\w\s]") -> re.Pattern:
-    return re.compile(rf"(?P<comment>{comment})|(?P<str>{string})|(?P<num>{_NUMBER})|(?P<word>{word})|(?P<open>[(\[{{])|(?P<close>[)\]}}])|(?P<op>{op})|(?P<space>\s+)")
+    return re.compile(rf"[^\S\n]*(?:(?P<word>{word})|(?P<comment>{comment})|(?P<space>\n\s*)|(?P<str>{string})|(?P<num>{_NUMBER})|(?P<open>[(\[{{])|(?P<close>[)\]}}])|(?P<op>{op})|(?P<end>\Z))")
 
 
 _OPS = r"[-+*/%&|^!~<>?:=.,;@#$`\\]"
 _LEXERS = {
     "java": _lexer(f"{_SLASHED}|{_BLOCK}", rf'"""[\s\S]*?"""|{_DQ}|{_CHAR}', r"[^\W\d][\w$]*", r"->|::|\+\+|--|[-+*/%&|^!~<>?:=.,;@]"),
     "go": _lexer(f"{_SLASHED}|{_BLOCK}", rf"{_DQ}|`[^`]*`|'(?:\\(?:x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}|[0-7]{{3}}|.)|[^'\\\n])'", _WORD, r":=|<-|\.\.\.|\+\+|--|[-+*/%&|^!~<>:=.,;]"),
-    "rust": _lexer(_SLASHED, r'b?r(?P<h>#*)"[\s\S]*?"(?P=h)|[bc]?"(?:[^"\\]|\\[\s\S])*"' + r"|b?'(?:\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.)|[^'\\\n])'", r"'[^\W\d]\w*(?!')|r#[^\W\d]\w*|[^\W\d]\w*", r"=>|->|::|\.\.=?|[-+*/%&|^!~<>?:=.,;@#$]"),
+    "rust": _lexer(_SLASHED, r'b?r(?P<h>#*)"[\s\S]*?"(?P=h)|[bc]?"(?:[^"\\]|\\[\s\S])*"' + r"|b?'(?:\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.)|[^'\\\n])'", r"'[^\W\d]\w*(?!')|r#[^\W\d]\w*|(?!b?r#*\"|[bc]\"|b')[^\W\d]\w*", r"=>|->|::|\.\.=?|[-+*/%&|^!~<>?:=.,;@#$]"),
     "csharp": _lexer(f"{_SLASHED}|{_BLOCK}|(?m:^[ \\t]*#(?:region|endregion|if|else|elif|endif|define|undef|pragma|nullable|warning|error|line)\\b[^\\n]*)", rf'"""[\s\S]*?"""|@"(?:[^"]|"")*"|{_DQ}(?:u8)?|{_CHAR}', r"@?[^\W\d]\w*", r"=>|->|::|\?\?|\?\.|\+\+|--|[-+*/%&|^!~<>?:=.,;$@]"),
     "typescript": _lexer(f"{_SLASHED}|{_BLOCK}|\\A#![^\\n]*", rf"{_DQ}|{_SQ}", r"#?[^\W\d][\w$]*|\$[\w$]*", r"=>|\?\.|\.\.\.|\+\+|--|[-+*/%&|^!~<>?:=.,;@`]"),
-    "python": _lexer(r"\#[^\n]*", rf'[rRbBuUfF]{{0,2}}(?:"""(?:[^\\]|\\[\s\S])*?"""|\'\'\'(?:[^\\]|\\[\s\S])*?\'\'\'|{_DQ}|{_SQ})', _WORD, r"->|:=|\*\*|//|[-+*/%&|^!~<>:=.,;@\\]"),
+    "python": _lexer(r"\#[^\n]*", rf'[rRbBuUfFtT]{{0,2}}(?:"""(?:[^\\]|\\[\s\S])*?"""|\'\'\'(?:[^\\]|\\[\s\S])*?\'\'\'|{_DQ}|{_SQ})', r"(?![rRbBuUfFtT]{1,2}[\"'])" + _WORD, r"->|:=|\*\*|//|[-+*/%&|^!~<>:=.,;@\\]"),
     "json": _lexer(r"(?!)", r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"', r"true\b|false\b|null\b", r"[-+:,.]"),
 }
 _LEXERS["javascript"] = _LEXERS["typescript"]
@@ -75,8 +75,6 @@ _ITEMS = {
     "csharp": set("using namespace class public internal private protected static sealed abstract partial interface enum record struct readonly delegate extern global file unsafe ref [ @ ; new await var if for foreach while return try throw int string bool".split()),
 }
 _NEEDS_MORE = set("= + - * / % & | ^ ! ~ < ? : . , @ -> => := <- :: ?. ?? ... && ||".split())
-#: Deepest nesting the exact parsers are asked about; deeper sources are judged by the lexer alone.
-_DEPTH = 90
 
 
 class _Broken(Exception):
@@ -86,117 +84,195 @@ class _Broken(Exception):
         self.reason, self.at = reason, at
 
 
-def _tokens(text: str, language: str) -> list[tuple[str, str, int, int]]:
-    """(kind, text, place, depth) of each token but space and comments; raises _Broken at the first fault.
-
-    The stack holds opening delimiters and, as "`", '$"' and "${", the parts of template and interpolated strings.
+# What follows within a literal, by what is on top of the stack; its end, and the end of the literal.
+_PARTS = {
+    "`": (re.compile(r"(?:[^\\`$]|\\[\s\S]|\$(?!\{))*"), "`"),
+    '$"': (re.compile(r'(?:[^\\"{}\n]|\\.|\{\{|\}\})*'), '"'),
+    '$@"': (re.compile(r'(?:[^"{}]|""|\{\{|\}\})*'), '"'),
+    '$"""': (re.compile(r'(?:[^"{}]|"(?!""))*'), '"""'),
+}
+_INTERPOLATED = re.compile(r'(\$+)"""|\$@"|@\$"|\$"')
+_NESTED_COMMENT = re.compile(r"/\*|\*/")
+_MARKER = re.compile(r"(?m)^(?:<{7}|>{7}|={7}|\|{7})(?![<>=|])")
+_TAG = re.compile(r"<(?:>|([A-Za-z][\w.:-]*)(?=[\s/>]))")
+_IN_TAG = re.compile(r"(?:\s+|[A-Za-z_$@][\w.:$-]*|=|\"[^\"]*\"|'[^']*'|//[^\n]*|/\*[\s\S]*?\*/)*")
+_TAG_TEXT = re.compile(r"[^<{]*")
+_TAG_END = re.compile(r"</\s*[\w.:-]*\s*>")
+_DIRECTIVE = re.compile(r"#\s*(\w+)")
+#: Kinds that are literal on top of the stack: what follows isn't made of tokens.
+_LITERAL = {*_PARTS, "<tag", "<text"}
+
+
+def _literal(text: str, i: int, stack: list, out: list) -> int:
+    """Go on from ``i`` inside the literal on top of the stack, up to its end or to an expression within it."""
+    top, began = stack[-1][:2]
+    if top in _PARTS:
+        part, end = _PARTS[top]
+        i = part.match(text, i).end()
+        if text.startswith(end, i):
+            stack.pop()
+            out.append(("str", end, i, len(stack), False))
+            return i + len(end)
+        if i >= len(text) or top != "`" and text[i] != "{":
+            raise _Broken("unterminated literal", began)
+        out.append(("op", "${", i, len(stack), False))
+        stack.append(("${", i, False))
+        return i + (2 if top == "`" else 1)
+    if top == "<tag":
+        i = _IN_TAG.match(text, i).end()
+        if text.startswith("/>", i) or text.startswith(">", i):
+            stack.pop()
+            if text[i] == ">":
+                stack.append(("<text", began, False))
+                return i + 1
+            out.append(("close", ">", i, len(stack), False))
+            return i + 2
+    else:
+        i = _TAG_TEXT.match(text, i).end()
+        if m := _TAG_END.match(text, i):
+            stack.pop()
+            out.append(("close", ">", i, len(stack), False))
+            return m.end()
+        if m := _TAG.match(text, i):
+            stack.append(("<text" if m.group() == "<>" else "<tag", i, False))
+            return m.end()
+    if not text.startswith("{", i):
+        raise _Broken("unterminated literal", began)
+    out.append(("op", "${", i, len(stack), False))
+    stack.append(("${", i, False))
+    return i + 1
+
+
+def _is_element(text: str, m: re.Match) -> bool:
+    """Whether what looks like a tag is a JSX element and not a type in angle brackets: it is closed by name or by itself."""
+    if m.group() == "<>":
+        return "</>" in text[m.end() :]
+    head = text[m.end() : text.find(">", m.end()) + 1]
+    return head.endswith("/>") or f"</{m.group(1)}" in text[m.end() :] or head.count("{") > head.count("}") and "/>" in text[m.end() :]
+
+
+def _tokens(text: str, language: str) -> list[tuple]:
+    """(kind, text, place, depth, flag) of each token but space and comments; raises _Broken at the first fault.
+
+    The stack holds opening delimiters, the literals that have expressions within them, and these expressions ("${").
+    The flag is set on a parenthesis that closes the head of a statement, and on Rust tokens inside a macro call.
     """
-    lex = _LEXERS[language].match
-    out: list[tuple[str, str, int, int]] = []
-    stack: list[tuple[str, int]] = []
-    js, cs, i, n = language in ("typescript", "javascript"), language == "csharp", 0, len(text)
-    line_start = True
+    lexer = _LEXERS[language]
+    js, cs, rust = language in ("typescript", "javascript"), language == "csharp", language == "rust"
+    out: list[tuple] = []
+    stack: list[tuple] = []  # (what, place, flag)
+    branches: list[list] = []  # the stack at each open #if
+    markers = {m.start() for m in _MARKER.finditer(text)} if language != "json" else set()
+    i, n, add = 0, len(text), out.append
     while i < n:
-        top = stack[-1][0] if stack else ""
-        if top == "`":  # inside a template literal
-            m = re.compile(r"(?:[^\\`$]|\\[\s\S]|\$(?!\{))*").match(text, i)
-            i = m.end()
-            if i >= n:
-                break
-            if text[i] == "`":
-                stack.pop()
-                out.append(("str", "`", i, len(stack)))
-                i += 1
-            else:
-                stack.append(("${", i))
-                i += 2
-            continue
-        if top in ('$"', '$@"', '$"""'):  # inside an interpolated string
-            part = {'$"': r'(?:[^\\"{}\n]|\\.|\{\{|\}\})*', '$@"': r'(?:[^"{}]|""|\{\{|\}\})*', '$"""': r'(?:[^"{}]|"(?!""))*'}[top]
-            i = re.compile(part).match(text, i).end()
-            end = '"""' if top == '$"""' else '"'
-            if text.startswith(end, i):
-                stack.pop()
-                out.append(("str", end, i, len(stack)))
-                i += len(end)
-            elif i < n and text[i] == "{":
-                stack.append(("${", i))
-                i += 1
-            else:
-                raise _Broken("unterminated literal", stack[-1][1])
-            continue
-        if line_start and text[i] in "<=>|" and language != "json" and (m := _CONFLICT.match(text, i)):
-            raise _Broken("merge-conflict marker", i)
-        m = lex(text, i)
-        if m is None:
-            if text[i] in "\"'" or text.startswith("/*", i):
-                raise _Broken("unterminated literal", i)
-            raise _Broken("character that belongs to no token", i)
-        kind, tok = m.lastgroup, m.group()
-        if kind in ("space", "comment"):
-            line_start = tok.endswith("\n") if kind == "space" else False
-            i = m.end()
-            continue
-        line_start = False
-        if language == "rust" and text.startswith("/*", i):  # block comments nest
-            depth, j = 1, i + 2
-            for c in re.compile(r"/\*|\*/").finditer(text, j):
-                depth += 1 if c.group() == "/*" else -1
-                if not depth:
-                    j = c.end()
-                    break
-            if depth:
-                raise _Broken("unterminated literal", i)
-            i = j
-            continue
-        if kind == "op" and tok == "/" and text.startswith("/*", i):
-            raise _Broken("unterminated literal", i)
-        if js and tok == "`":
-            stack.append(("`", i))
-            i += 1
+        if stack and stack[-1][0] in _LITERAL:
+            i = _literal(text, i, stack, out)
             continue
-        if cs and tok in "$@" and (s := re.compile(r'(\$+)"""|\$@"|@\$"|\$"').match(text, i)):
-            stack.append(('$"""' if s.group(1) else '$@"' if "@" in s.group() else '$"', i))
-            i = s.end()
-            continue
-        if js and tok == "/":
-            p = out[-1] if out else ("", "", 0, 0)
-            asserted = p[1] == "!" and len(out) > 1 and out[-2][0] in ("word", "close") and out[-2][2] + len(out[-2][1]) == p[2]
-            if not asserted and p[0] not in ("num", "str", "close") and not (p[0] == "word" and p[1] not in _TS_REGEX_AFTER):
-                r = _REGEX.match(text, i)
-                if not r:
-                    if p[0] != "op" or p[1] not in ("<",):
-                        raise _Broken("unterminated literal", i)
+        stray = True  # unless a token is found, or one that changes how to go on
+        for m in lexer.finditer(text, i):
+            if stray := m.start() != i:
+                break
+            kind = m.lastgroup
+            at, i = m.start(kind), m.end()
+            if markers and at in markers and kind not in ("comment", "space"):
+                raise _Broken("merge-conflict marker", at)
+            if kind == "space" or kind == "end":
+                continue
+            tok = m.group(kind)
+            if kind == "word" or kind == "num" or kind == "str":
+                add((kind, tok, at, len(stack), rust and bool(stack) and stack[-1][2]))
+            elif kind == "comment":
+                if cs and tok[0] == "#":
+                    word = _DIRECTIVE.match(tok).group(1)
+                    if word == "if":
+                        branches.append(list(stack))
+                    elif word in ("else", "elif") and branches:
+                        stack[:] = branches[-1]
+                    elif word == "endif" and branches:
+                        branches.pop()
+            elif kind == "open":
+                before = out[-1][1] if out else ""
+                flag = rust and (bool(stack) and stack[-1][2] or before == "!" or len(out) > 1 and out[-2][1] == "!") or js and tok == "(" and before in ("if", "for", "while", "with")
+                add((kind, tok, at, len(stack), False))
+                stack.append((tok, at, flag))
+            elif kind == "close":
+                top = stack[-1] if stack else ("", at, False)
+                if tok == "}" and top[0] == "${":
+                    stack.pop()
+                    if stack[-1][0] in _LITERAL:
+                        break
+                elif _CLOSER.get(top[0]) != tok:
+                    raise _Broken("unbalanced delimiter", at)
                 else:
-                    out.append(("str", r.group(), i, len(stack)))
-                    i = r.end()
-                    continue
-        if kind == "open":
-            out.append((kind, tok, i, len(stack)))
-            stack.append((tok, i))
-        elif kind == "close":
-            if tok == "}" and top == "${":
-                stack.pop()
-            elif not stack or _CLOSER.get(top) != tok:
-                raise _Broken("unbalanced delimiter", i)
+                    stack.pop()
+                    add((kind, tok, at, len(stack), top[2]))
+            elif rust and text.startswith("/*", at):  # block comments nest
+                depth = 0
+                for c in _NESTED_COMMENT.finditer(text, at):
+                    depth += 1 if c.group() == "/*" else -1
+                    if not depth:
+                        i = c.end()
+                        break
+                if depth:
+                    raise _Broken("unterminated literal", at)
+                break
+            elif tok == "/" and text.startswith("/*", at):
+                raise _Broken("unterminated literal", at)
+            elif js and tok == "`":
+                stack.append(("`", at, False))
+                break
+            elif cs and tok in "$@" and (s := _INTERPOLATED.match(text, at)):
+                stack.append(('$"""' if s.group(1) else '$@"' if "@" in s.group() else '$"', at, False))
+                i = s.end()
+                break
+            elif cs and tok == ":" and stack and stack[-1][0] == "${":  # the format of an interpolation
+                i = text.find("}", at)
+                if i < 0:
+                    raise _Broken("unterminated literal", at)
+                break
+            elif js and tok in "/<" and (r := _operand(text, at, tok, out)):
+                if tok == "<":
+                    stack.append(("<text" if r.group() == "<>" else "<tag", at, False))
+                else:
+                    add(("str", r.group(), at, len(stack), False))
+                i = r.end()
+                break
             else:
-                stack.pop()
-                out.append((kind, tok, i, len(stack)))
+                add((kind, tok, at, len(stack), False))
         else:
-            out.append((kind, tok, i, len(stack)))
-        i = m.end()
+            stray = i < n
+        if stray:
+            i += len(text[i:]) - len(text[i:].lstrip())
+            raise _Broken("unterminated literal" if text[i : i + 1] in ('"', "'") or text.startswith("/*", i) else "character that belongs to no token", min(i, n - 1))
     if stack:
         raise _Broken("unterminated literal" if stack[-1][0] not in "([{" else "delimiter left open", stack[-1][1])
     return out
 
 
-def _other_language(toks: list[tuple[str, str, int, int]], text: str, language: str) -> None:
+def _operand(text: str, at: int, tok: str, out: list) -> re.Match | None:
+    """The regular expression or the tag that begins at a slash or an angle bracket, where an operand is due; else None."""
+    p = out[-1] if out else ("", "", 0, 0, False)
+    asserted = p[1] == "!" and len(out) > 1 and out[-2][0] in ("word", "close") and out[-2][2] + len(out[-2][1]) == p[2]
+    due = not asserted and p[0] not in ("num", "str", "close") and not (p[0] == "word" and p[1] not in _TS_REGEX_AFTER)
+    due = due or p[1] == ")" and p[4]
+    if tok == "<":
+        m = _TAG.match(text, at)
+        return m if due and m and _is_element(text, m) else None
+    if not due:
+        return None
+    r = _REGEX.match(text, at)
+    if not r and not (p[0] == "op" and p[1] == "<"):
+        raise _Broken("unterminated literal", at)
+    return r
+
+
+def _other_language(toks: list[tuple], text: str, language: str) -> None:
     """Raise where a top-level item begins with a word its language doesn't know."""
     items = _ITEMS.get(language)
     if items is None or not toks:
         return
     begin, closed = True, False
-    for k, (kind, tok, at, depth) in enumerate(toks):
+    for k, (kind, tok, at, depth, _) in enumerate(toks):
         if depth == 0 and kind != "close":
             fresh = begin
             if language == "go" and k and "\n" in text[toks[k - 1][2] : at] and toks[k - 1][0] != "op":
@@ -220,7 +296,7 @@ def _calls(toks: list, k: int) -> bool:
     return nxt in (".", "(", "=", "<", "[", "?") or (k + 2 < len(toks) and toks[k + 1][0] == "word" and toks[k + 2][1] in ("=", ";", "("))
 
 
-def _beside(toks: list[tuple[str, str, int, int]], text: str, language: str) -> None:
+def _beside(toks: list[tuple], text: str, language: str) -> None:
     """Raise where two operands stand side by side with no operator between them."""
     js = language in ("typescript", "javascript")
     if not js and language not in _KEYWORDS:
@@ -228,7 +304,7 @@ def _beside(toks: list[tuple[str, str, int, int]], text: str, language: str) ->
     joins = _TS_JOIN if js else _KEYWORDS[language]
     run = 0
     for k in range(1, len(toks)):
-        (ka, a, pa_, _), (kb, b, pb, _) = toks[k - 1], toks[k]
+        (ka, a, pa_, _, head), (kb, b, pb, _, macro) = toks[k - 1], toks[k]
         same_line = "\n" not in text[pa_:pb]
         if ka not in ("word", "num", "str", "close") or kb not in ("word", "num", "str"):
             run = 0
@@ -239,7 +315,7 @@ def _beside(toks: list[tuple[str, str, int, int]], text: str, language: str) ->
         if ka == "close":
             if js and same_line and a == "]" and kb != "word":
                 raise _Broken("operands side by side", pb)
-            if js and same_line and a == ")" and kb == "str" and k >= 2 and b != "`" and not _statement_head(toks, k - 1):
+            if js and same_line and a == ")" and kb == "str" and b != "`" and not head:
                 raise _Broken("operands side by side", pb)
             continue
         if js:
@@ -250,7 +326,7 @@ def _beside(toks: list[tuple[str, str, int, int]], text: str, language: str) ->
         elif language == "rust":
             if a.startswith("'") or a == "union" or ka == "word" and k >= 2 and toks[k - 2][1] in ("!", "$"):
                 continue
-            if not _in_macro(toks, k):
+            if not macro:
                 raise _Broken("operands side by side", pb)
         elif ka != "word" or kb != "word":
             if not (a == '"' or b == '"'):
@@ -263,9 +339,9 @@ def _beside(toks: list[tuple[str, str, int, int]], text: str, language: str) ->
                 raise _Broken("operands side by side", toks[k + 1][2])
 
 
-def _imported(toks: list[tuple[str, str, int, int]], language: str) -> None:
+def _imported(toks: list[tuple], language: str) -> None:
     """Raise where an import or package clause of Java, TypeScript or JavaScript isn't complete."""
-    for k, (kind, tok, at, depth) in enumerate(toks):
+    for k, (kind, tok, at, depth, _) in enumerate(toks):
         if depth or kind != "word" or k and toks[k - 1][1] in (".", "@", "#"):
             continue
         rest = [t[1] for t in toks[k + 1 : k + 4]] + ["", "", ""]
@@ -280,31 +356,11 @@ def _imported(toks: list[tuple[str, str, int, int]], language: str) -> None:
                 raise _Broken("import without its end", at)
 
 
-def _in_macro(toks: list, k: int) -> bool:
-    """Whether a Rust token lies inside the delimiters of a macro call."""
-    depth = toks[k][3]
-    for j in range(k - 1, -1, -1):
-        if toks[j][3] < depth and toks[j][0] == "open":
-            if j and (toks[j - 1][1] == "!" or j > 1 and toks[j - 2][1] == "!"):
-                return True
-            depth = toks[j][3]
-    return False
-
-
-def _statement_head(toks: list, close: int) -> bool:
-    """Whether the parenthesis that closes at ``close`` belongs to if, for, while or with."""
-    depth = toks[close][3]
-    for j in range(close - 1, -1, -1):
-        if toks[j][0] == "open" and toks[j][3] == depth:
-            return j > 0 and toks[j - 1][1] in ("if", "for", "while", "with")
-    return False
-
-
-def _ended(toks: list[tuple[str, str, int, int]], language: str) -> None:
+def _ended(toks: list[tuple], language: str) -> None:
     """Raise where the last statement of a braced language is cut off."""
     if not toks:
         return
-    kind, tok, at, _ = toks[-1]
+    kind, tok, at = toks[-1][:3]
     if tok in _NEEDS_MORE and not (tok == "!" and language == "typescript"):
         raise _Broken("premature end", at)
     if language in ("java", "csharp", "rust") and tok not in (";", "}") and not (tok == "]" and toks[0][1] in ("#", "[")):
@@ -346,15 +402,123 @@ def _ended(toks: list[tuple[str, str, int, int]], language: str) -> None:
 _DECLARE = re.compile(r"\A(?:﻿)?\s*(?:<!DOCTYPE|<html|<\?xml|diff --git |version https://|--- a/|\+\+\+ b/|={1,6} \w|#{1,6} \w)", re.I)
 
 
+# Words of Python that begin a block, and those that may stand beside an operand.
+_PY_BLOCK = set("def class if elif else for while try except finally with async match case".split())
+_PY_JOIN = set("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type".split())
+# Words that end no line, and for words that go on a statement, those of the block before.
+_PY_UNFINISHED = set("await and or not in is import lambda del async from assert".split())
+_PY_AFTER = {"elif": {"if", "elif"}, "else": {"if", "elif", "for", "while", "except"}, "except": {"try", "except"}, "finally": {"try", "except", "else"}}
+_PY_MORE = set("= + - * / % & | ^ ~ < > . , @ := -> ** // !".split()) - {","}
+
+
+def _laid_out(toks: list[tuple], text: str) -> None:
+    """Raise where a line of Python is misplaced: open indents are the stack."""
+    lines: list[list[tuple]] = []
+    end, joined = 0, False
+    for t in toks:
+        if t[1] == "\\" and t[0] == "op":
+            joined, end = True, t[2] + 1
+            continue
+        if not lines or t[3] == 0 and t[0] != "close" and not joined and text.find("\n", end, t[2]) >= 0:
+            lines.append([])
+        lines[-1].append(t)
+        joined, end = False, t[2] + len(t[1])
+    indents, opened, heads = [""], False, [""]  # heads: the block that each level has just had
+    for line in lines:
+        first, last = line[0], line[-1]
+        start = text.rfind("\n", 0, first[2]) + 1
+        indent = text[start : first[2]].replace("\f", "")
+        if indent.strip() == "":
+            if opened:
+                if len(indent) <= len(indents[-1]):
+                    raise _Broken("block without lines", first[2])
+                indents.append(indent)
+                heads.append("")
+            else:
+                while len(indents) > 1 and len(indent) < len(indents[-1]):
+                    indents.pop()
+                    if heads.pop() == "try":
+                        raise _Broken("block without its end", first[2])
+                if indent != indents[-1]:
+                    raise _Broken("indent that fits no block", first[2])
+            goes_on = _PY_AFTER.get(first[1]) if first[0] == "word" else None
+            if goes_on and heads[-1] not in goes_on or heads[-1] == "try" and not goes_on:
+                raise _Broken("block without its end" if heads[-1] == "try" else "block without its head", first[2])
+            heads[-1] = (line[1][1] if first[1] == "async" and len(line) > 1 else first[1]) if last[1] == ":" or first[1] in _PY_BLOCK else ""
+        opened = last[1] == ":" and last[3] == 0
+        if first[0] == "word" and first[1] in _PY_BLOCK - {"match", "case", "async"} and not any(t[1] == ":" and t[3] == 0 for t in line):
+            raise _Broken("head of a block without colon", first[2])
+        if last[0] == "word" and last[1] in _PY_UNFINISHED and last[3] == 0:
+            raise _Broken("premature end", last[2])
+        if last[0] == "op" and last[1] in _PY_MORE and not (last[1] == "*" and first[1] == "from"):
+            raise _Broken("premature end", last[2])
+        if first[0] == "op" and first[1] not in ("@", "-", "+", "~", "*", "..."):
+            raise _Broken("line that begins with an operator", first[2])
+        for (ka, a, *_), (kb, b, at, *_) in zip(line, line[1:]):
+            if ka in ("word", "num", "str") and kb in ("word", "num", "str") and not (ka == kb == "str") and a not in _PY_JOIN and b not in _PY_JOIN:
+                raise _Broken("operands side by side", at)
+    if opened or "try" in heads:
+        raise _Broken("premature end", len(text) - 1)
+
+
+_JSON_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+
+
+def _json(text: str) -> None:
+    """Raise where a text isn't one JSON value: open objects and arrays are the stack."""
+    stack: list[str] = []
+    due, i, n = "value", 0, len(text)
+    while True:
+        while i < n and text[i] in " \t\r\n":
+            i += 1
+        if i >= n:
+            break
+        c = text[i]
+        if due == "end":
+            raise _Broken("text after the value", i)
+        if due in ("value", "value or ]") and c in "{[":
+            stack.append(c)
+            due, i = "key or }" if c == "{" else "value or ]", i + 1
+        elif c in "}]":
+            if not stack or _CLOSER[stack[-1]] != c or due not in (", or end", "key or }", "value or ]"):
+                raise _Broken("unbalanced delimiter", i)
+            stack.pop()
+            due, i = ", or end" if stack else "end", i + 1
+        elif due == ", or end":
+            if c != ",":
+                raise _Broken("operands side by side", i)
+            due, i = "key" if stack[-1] == "{" else "value", i + 1
+        elif due == ":":
+            if c != ":":
+                raise _Broken("key without value", i)
+            due, i = "value", i + 1
+        else:
+            m = _LEXERS["json"].match(text, i) if c in '"tfn' else _JSON_NUMBER.match(text, i)
+            if not m or due.startswith("key") and c != '"' or m.lastgroup == "word" and m.group("word") not in ("true", "false", "null"):
+                raise _Broken("unterminated literal" if c == '"' and not m else "not a value", i)
+            if due.startswith("key"):
+                due = ":"
+            else:
+                due = ", or end" if stack else "end"
+            i = m.end()
+    if due != "end":
+        raise _Broken("delimiter left open" if stack else "premature end", max(0, n - 1))
+
+
 def fault(source: str, language: str) -> tuple[str, int] | None:
     """(reason, line) of the first fault of ``source``, or None if it is sound or its language isn't known."""
     if language not in _LEXERS:
         return None
     text = source[1:] if source.startswith("﻿") else source
+    found = None
     try:
-        try:
+        if language == "json":
+            _json(text)
+        else:
             toks = _tokens(text, language)
-            if language not in ("python", "json"):
+            if language == "python":
+                _laid_out(toks, text)
+            else:
                 if toks and _DECLARE.match(text) and not (language == "csharp" and text.lstrip().startswith("#")):
                     raise _Broken("text of another language", 0)
                 _other_language(toks, text, language)
@@ -362,41 +526,24 @@ def fault(source: str, language: str) -> tuple[str, int] | None:
                     _imported(toks, language)
                 _beside(toks, text, language)
                 _ended(toks, language)
-        except _Broken:
-            if language in ("python", "json") and _exact(text, language) is None:
-                return None  # the parser knows better than the lexer
-            raise
-        if language in ("python", "json") and (found := _exact(text, language, deepest=max((t[3] for t in toks), default=0))):
-            return found
     except _Broken as x:
-        return x.reason, text.count("\n", 0, x.at) + 1
-    return None
+        found = x.reason, text.count("\n", 0, x.at) + 1
+    return _second_opinion(text, found) if language == "python" else found
 
 
-def _exact(text: str, language: str, deepest: int = 0) -> tuple[str, int] | None:
-    """The verdict of the language's own parser."""
-    if deepest > _DEPTH:
-        return None
+def _second_opinion(text: str, found: tuple[str, int] | None) -> tuple[str, int] | None:
+    """What Python's own parser makes of a source that the stack has judged; sources beyond its limits stay as judged."""
     try:
-        if language == "python":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-        else:
-            json.loads(text, parse_constant=_no_constant)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(text)
     except SyntaxError as x:
-        return "does not parse", x.lineno or 1
-    except json.JSONDecodeError as x:
-        return "does not parse", x.lineno
+        return found or ("does not parse", x.lineno or 1) if "too many" not in str(x) else found
     except (ValueError, RecursionError, MemoryError):
-        return "does not parse", 1
+        return found
     return None
 
 
-def _no_constant(name: str) -> None:
-    raise ValueError(name)
-
-
 def language_of(language_id: Column, path: Column) -> Column:
     """The language of a row: language_id in lower case, or the language of the path's extension."""
     ext = F.create_map(*(F.lit(x) for kv in EXTENSIONS.items() for x in kv))
