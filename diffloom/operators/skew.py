@@ -10,6 +10,15 @@ SALTS = 64
 HOT_SHARE = 1 / 500
 
 
+#: Rows up to which a table may be sent to every task.
+SMALL = 20_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """Keys of ``counts`` (key, n) that hold at least HOT_SHARE of ``total`` rows: at most 1/HOT_SHARE of them."""
     return counts.where(F.col(n) >= F.lit(max(1.0, total * HOT_SHARE))).select(key)

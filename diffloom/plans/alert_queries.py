@@ -16,7 +16,7 @@ _PARSED_SQL = rf"""
     r AS (SELECT raw_id, repo, f.*, regexp_replace(raw_line, '\r$', '') AS body FROM static_alert_lines LEFT JOIN f USING (feed)),
     p AS (SELECT *, regexp_matches(body, '^' || {_FIELD} || '(?:' || d || {_FIELD} || ')*$') AS sound, regexp_extract_all(delimiter || body, d || '(' || replace({_FIELD}, '\r\n', '') || ')', 1) AS w FROM r),
     u AS (SELECT * EXCLUDE (w), list_transform(w, lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END) AS v FROM p),
-    c AS (SELECT raw_id, repo, feed, sound, len(v) = n_columns AS whole, {", ".join(f"v[list_position(column_names, '{c}')] AS {c}" for c in ("tool", "rule_id", "path", "line", "message", "help_uri", "run_no"))},
+    c AS (SELECT raw_id, repo, feed, sound, len(v) = n_columns AS whole, len(v) < n_columns AS short, body, {", ".join(f"v[list_position(column_names, '{c}')] AS {c}" for c in ("tool", "rule_id", "path", "line", "message", "help_uri", "run_no"))},
         list_contains(column_names, 'level') AS leveled, v[list_position(column_names, 'level')] AS level FROM u),
     k AS (SELECT *, coalesce(sound AND whole AND regexp_matches(line, '^ *[0-9]+ *$') AND try_cast(trim(line) AS HUGEINT) BETWEEN 1 AND 2147483647
         AND regexp_matches(path, '[^\s\v\x85\p{{Z}}]') AND NOT regexp_matches(path, '[\p{{Cc}}\x{{FFFD}}]') AND rule_id <> '' AND NOT regexp_matches(rule_id, '[\s\v\x85\p{{Z}}\p{{Cc}}]')
@@ -29,7 +29,7 @@ _BAD_SQL = f"WITH {_PARSED_SQL} SELECT DISTINCT raw_id FROM k WHERE NOT valid"
 def _alerts(spark: SparkSession, d: str) -> DataFrame:
     """Valid alerts with their repository."""
     raw = spread_table(spark, d, "static_alert_lines")
-    return badrows.load_alerts(raw, table(spark, d, "alert_feeds")).join(raw.select("raw_id", "repo"), "raw_id").where("repo IS NOT NULL")
+    return badrows.load_alerts(raw.where("repo IS NOT NULL"), table(spark, d, "alert_feeds"), keep=("repo",))
 
 
 def _added(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +43,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return badrows.bad_records(spread_table(spark, d, "static_alert_lines"), table(spark, d, "alert_feeds")).select("raw_id")
 
 
-@query("p2_reasons")
+@query(
+    "p2_reasons",
+    rf"""
+    WITH {_PARSED_SQL}, s AS (SELECT *, CASE WHEN body IS NULL THEN 'no record' WHEN feed IS NULL THEN 'unknown feed' WHEN NOT sound THEN 'broken quoting' WHEN short THEN 'too few fields' WHEN NOT whole THEN 'too many fields' END AS form FROM k),
+    b AS (SELECT raw_id, form,
+        CASE WHEN NOT regexp_matches(line, '^ *[0-9]+ *$') THEN 'line is not a whole number' WHEN coalesce(try_cast(trim(line) AS HUGEINT), 0) NOT BETWEEN 1 AND 2147483647 THEN 'line is out of range' END AS line_bad,
+        CASE WHEN NOT regexp_matches(path, '[^\s\v\x85\p{{Z}}]') THEN 'path is blank' WHEN regexp_matches(path, '[\p{{Cc}}\x{{FFFD}}]') THEN 'path has control or replacement characters' END AS path_bad,
+        CASE WHEN rule_id = '' THEN 'rule_id is empty' WHEN regexp_matches(rule_id, '[\s\v\x85\p{{Z}}\p{{Cc}}]') THEN 'rule_id has white space or control characters' END AS rule_bad,
+        CASE WHEN leveled AND lower(trim(level)) NOT IN ('error', 'warning', 'note', 'none') AND regexp_matches(level, '[^\s\v\x85\p{{Z}}]') THEN 'level is unknown' END AS level_bad FROM s),
+    o AS (SELECT DISTINCT raw_id, CASE WHEN form IS NOT NULL THEN [form] ELSE list_sort(list_filter([line_bad, path_bad, rule_bad, level_bad], lambda x: x IS NOT NULL)) END AS why FROM b)
+    SELECT raw_id, array_to_string(why, '; ') AS reasons FROM o WHERE len(why) > 0
+    """,
+)
 def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
     """The same records with every reason."""
     bad = badrows.bad_records(spread_table(spark, d, "static_alert_lines"), table(spark, d, "alert_feeds"))
