@@ -139,7 +139,7 @@ def numbered(cut: DataFrame, capacity: int) -> DataFrame:
             seen[found] += n
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), part), pa.int32()), pa.array(rank)], names=[*b.schema.names, "_part", "_rank"])
 
-    return cut.mapInArrow(run, T.StructType(cut.schema.fields).add("_part", T.IntegerType()).add("_rank", T.LongType()))
+    return cut.mapInArrow(run, T.StructType([*cut.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_rank", T.LongType())]))
 
 
 def pack(items: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
