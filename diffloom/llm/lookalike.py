@@ -1,8 +1,9 @@
 """Visually identical text with different characters, brought to one form.
 
-Candidates are texts with equal compatibility-normalised, case-folded keys without default-ignorable characters.
-Because letter case, accents, raised and circled signs must stay apart here, an exact check on the finer ``form``
-follows. Everything after the forms works on hashes: texts aren't shuffled.
+Each distinct text of the corpus gets a key: compatibility-normalised, case-folded, with mapped white space and letters
+of one shape and without default-ignorable characters. Texts of one key are candidates. Because letter case, accents,
+raised and circled signs must stay apart here, an exact check on the finer ``form`` follows within each key. Everything
+after the keys works on hashes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import unicodedata as ud
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from diffloom.operators.skew import dictionary_join, hot_keys
 from diffloom.session import staged
 
 # Letters and signs of the same shape as a Latin letter or a more common sign.
@@ -76,53 +78,75 @@ def form(text: str) -> str:
     return ud.normalize("NFC", ud.normalize("NFD", keep).translate(_looks))
 
 
+_WHITE = re.compile(r"[\t-\r\x1c-\x1f\x85\u2028\u2029]|" + _SPACES.pattern)
+_LOWER_ASCII = {**{i: i + 32 for i in range(65, 91)}, **{i: 32 for i in (*range(9, 14), *range(28, 32))}}
+
+
 def look_key(text: str) -> str:
-    """The candidate key: compatibility normalisation, full case folding, white space mapped, ignorables removed."""
-    t = ud.normalize("NFKC", text).casefold().translate(_looks)
-    return re.sub(r"\s", " ", _IGNORABLE.sub("", ud.normalize("NFKC", t).casefold()))
+    """The candidate key: compatibility normalisation, full case folding, white space mapped, ignorables removed.
+
+    Texts of one form have one key, but not the other way round.
+    """
+    if text.isascii():
+        return text.translate(_LOWER_ASCII)
+    t = ud.normalize("NFKD", _IGNORABLE.sub("", text).translate(_SHAPE)).translate(_SHAPE)
+    t = ud.normalize("NFKD", t.casefold()).translate(_SHAPE).casefold()
+    return ud.normalize("NFKC", _IGNORABLE.sub("", _WHITE.sub(" ", t)))
 
 
 def _digest(t: str) -> bytes:
     return hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def forms(docs: DataFrame, key: str = "doc_id", text: str = "text", with_form: bool = True) -> DataFrame:
-    """(key, text_hash, look, form_hash[, form]) of every row; all null for a null text.
-
-    Computed per distinct value of an Arrow batch; hashes have 128 bits.
-    """
+def _looks_of(docs: DataFrame, key: str, text: str, *out: str) -> DataFrame:
+    """(key, out..) of every row; out: look (hash), form_hash or form; null for a null text."""
+    of = {"look": lambda t: _digest(look_key(t)), "form_hash": lambda t: _digest(form(t)), "form": form}
 
     def run(batches):
         for b in batches:
             coded = b.column(1).dictionary_encode()
-            out = [[], [], [], []]
-            for t in coded.dictionary.to_pylist():
-                f = form(t)
-                for o, x in zip(out, (_digest(t), _digest(look_key(f)), _digest(f), f if with_form else None)):
-                    o.append(x)
-            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.string())
-            cols = [pa.array(o, k).take(coded.indices) for o, k in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[key, "text_hash", "look", "form_hash", "form"])
+            values = coded.dictionary.to_pylist()
+            cols = [pa.array(map(of[o], values), pa.string() if o == "form" else pa.binary()).take(coded.indices) for o in out]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[key, *out])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, text_hash binary, look binary, form_hash binary, form string")
+    kinds = ", ".join(f"{o} {'string' if o == 'form' else 'binary'}" for o in out)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, {kinds}")
+
+
+def forms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, form) of every row; null for a null text."""
+    return _looks_of(docs, key, text, "form")
+
+
+def lookalikes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Classes and membership of non-blank texts that look the same as another one.
+
+    Classes are (class, text_hash): the distinct texts (128-bit hashes) of each class of two or more that have equal keys
+    and, by the exact check, equal forms. Members are (text_hash, key): the rows that hold these texts. Keys and forms
+    are worked out once per distinct text. Null, empty and blank texts are in no class; repeated rows count once; an
+    empty table gives empty results.
+    """
+    shown = docs.where(F.col(text).rlike(r"(?U)[^\s\u00ad\u200b-\u200f\u2060-\u206f\ufeff]")).select(key, text, F.unhex(F.md5(text)).alias("text_hash"))
+    texts = shown.select("text_hash", text).dropDuplicates(["text_hash"])
+    looks = staged(_looks_of(texts, "text_hash", text, "look", "form_hash"), "looks")
+    alike = looks.groupBy("look").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("look")
+    candidates = looks.join(alike, "look", "left_semi")
+    same = candidates.groupBy("look", "form_hash").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("look", "form_hash")
+    classes = staged(candidates.join(same, ["look", "form_hash"], "left_semi").select(F.col("form_hash").alias("class"), "text_hash"), "lookalikes")
+    return classes, staged(shown.select("text_hash", key).join(classes.select("text_hash"), "text_hash", "left_semi").distinct(), "members")
 
 
 def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key_a, key_b), key_a < key_b: all pairs of non-blank texts that differ in code points but look the same.
+    """(key_a, key_b), key_a < key_b: all pairs of rows whose texts differ in code points but look the same.
 
-    Pairs are made between distinct texts of one form first and then spread to the rows that hold those texts, so
-    copies of one text are never paired with each other. Null, empty and blank texts are in no pair; rows that repeat
-    a key count once; an empty table gives an empty result.
+    Pairs are made between the distinct texts of a class first and then spread to the rows that hold them; texts that
+    many rows hold are spread over many tasks. Copies of one text are never paired with each other.
     """
-    shown = docs.where(F.col(text).rlike(r"(?U)[^\s\u00ad\u200b-\u200f\u2060-\u206f\ufeff]"))
-    rows = staged(forms(shown, key, text, with_form=False).drop("form"), "looks")
-    texts = rows.groupBy("look", "form_hash", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    candidates = texts.groupBy("look").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1").select("look")
-    variants = staged(texts.join(candidates, "look", "left_semi").select("form_hash", "text_hash"), "variants")
-    a, b = variants.withColumnRenamed("text_hash", "text_a"), variants.withColumnRenamed("text_hash", "text_b")
-    pairs = a.join(b, "form_hash").where(F.col("text_a") < F.col("text_b"))  # the exact check: one form
-    holders = rows.join(variants.select("text_hash"), "text_hash", "left_semi").select(F.col("text_hash"), F.col(key))
-    left = pairs.join(holders.select(F.col("text_hash").alias("text_a"), F.col(key).alias("x")), "text_a")
-    both = left.join(holders.select(F.col("text_hash").alias("text_b"), F.col(key).alias("y")), "text_b")
-    return both.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()
+    classes, members = lookalikes(docs, key, text)
+    a, b = classes.withColumnRenamed("text_hash", "text_a"), classes.withColumnRenamed("text_hash", "text_b")
+    pairs = a.join(b, "class").where(F.col("text_a") < F.col("text_b")).drop("class")
+    often = hot_keys(members.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")), "text_hash", "n", members.count())
+    holders = lambda t, k: members.select(F.col("text_hash").alias(t), F.col(key).alias(k))
+    left = dictionary_join(holders("text_a", "_x"), pairs, "text_a", "_x", often.select(F.col("text_hash").alias("text_a"))).drop("text_a")
+    both = dictionary_join(holders("text_b", "_y"), left, "text_b", "_y", often.select(F.col("text_hash").alias("text_b")))
+    return both.where(F.col("_x") != F.col("_y")).select(F.least("_x", "_y").alias(f"{key}_a"), F.greatest("_x", "_y").alias(f"{key}_b")).distinct()

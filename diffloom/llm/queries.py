@@ -95,7 +95,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     """The one form of each document's text."""
-    return lookalike.forms(spread_table(spark, d, "documents")).select("doc_id", "form")
+    return lookalike.forms(spread_table(spark, d, "documents"))
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each document that looks the same as another one, with its class and the number of different texts in it."""
+    classes, members = lookalike.lookalikes(spread_table(spark, d, "documents"))
+    sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("texts"))
+    return members.join(classes.join(sizes, "class"), "text_hash").select("doc_id", F.hex("class").alias("class"), "texts")
 
 
 QUERIES: dict[str, Query] = {
@@ -115,6 +122,7 @@ QUERIES: dict[str, Query] = {
     "p7_use": p7_use,
     "p8_found": p8_found,
     "p8_forms": p8_forms,
+    "p8_classes": p8_classes,
 }
 
 SQL: dict[str, str] = {
