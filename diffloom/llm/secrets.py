@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame, functions as F
 from diffloom.operators.gate import detected_language
 from diffloom.session import staged
 
-# Keywords whose lines are looked at. All in lower case; matching ignores case.
-KEYWORDS = (
-    "pass pwd pw: pw= secret token credential apikey api_key api-key accesskey access_key access-key "
-    "privatekey private_key private-key signingkey signing_key signing-key encryptionkey encryption_key encryption-key "
-    "master_key masterkey account_key accountkey sharedkey shared_key authkey auth_key hmac jwt bearer basic authorization auth login "
-    "connect credentials setbasicauth :// server= ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- glptt- xoxa- xoxb- xoxp- xoxr- xoxs- xapp- "
-    "npm_ pypi- sk_live_ rk_live_ sk_test_ sk- akia asia aiza eyj sg. hf_ dop_v1_ shpat_ whsec_ begin x-api-key"
-).split()
+# Names that stand for a secret, in one word or in two with a joint or none between them.
+_NAMES = ("pass", "password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential", "credentials", "auth", "jwt", "bearer", "psk")
+_NAMES_OF_TWO = (("api", "key"), ("access", "key"), ("private", "key"), ("sign", "key"), ("signing", "key"), ("encrypt", "key"), ("encryption", "key"), ("secret", "key"), ("master", "key"), ("account", "key"), ("shared", "key"), ("auth", "key"), ("hmac", "key"), ("pin", "code"), ("secret", "value"))
+# How the tokens of issuers begin.
+_BEGINNINGS = "AKIA ASIA ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- glptt- gldt- glrt- glsoat- xoxa- xoxb- xoxe- xoxo- xoxp- xoxr- xoxs- xapp- npm_ sk_live_ sk_test_ rk_live_ rk_test_ sk- AIza SG. hf_ dop_v1_ shpat_ pypi- whsec_ eyJ".split()
+# What else a line with an address, a header, an option, a call, a comment or a private key holds.
+_SIGNS = ("://", "server=", "sharedaccesskey", "sig=", "basic", "authorization", "x-api-key", "login", "log_in", "signin", "sign_in", "connect", "-u ", "-u\t", "--user", " pw ", "pw:", "pw=", "pw is", "key:", "key=", "key =", "key is", "key was", "key ->", "begin ")
+#: Keywords whose lines are looked at, in lower case; they follow from the patterns, so that no pattern is out of reach.
+KEYWORDS = sorted({*_NAMES, *(a + joint + b for a, b in _NAMES_OF_TWO for joint in ("", "_", "-", ".", " ")), *(x.lower() for x in _BEGINNINGS), *_SIGNS})
 
 # Token formats of issuers.
 _ISSUERS = {
@@ -46,12 +47,8 @@ _ISSUERS = {
 }
 _ISSUER = re.compile("|".join(f"(?P<{k.replace('-', '_')}>{v})" for k, v in _ISSUERS.items()))
 
-# A name that stands for a secret ends in one of these words, whatever its case and joints.
-_SECRET_NAME = re.compile(
-    r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_\-.]?key|access[_\-.]?key(?:[_\-.]?id)?|private[_\-.]?key|sign(?:ing)?[_\-.]?key|encrypt(?:ion)?[_\-.]?key"
-    r"|secret[_\-.]?key|master[_\-.]?key|account[_\-.]?key|shared[_\-.]?key|auth[_\-.]?key|auth|hmac[_\-.]?key|jwt|bearer|psk|pin[_\-.]?code|secret[_\-.]?value)$",
-    re.I,
-)
+#: A name stands for a secret if it ends in one of these, whatever its case and joints.
+_SECRET_NAME = re.compile(r"(?i)(?:%s|%s|access[_\-.]?key[_\-.]?id)$" % ("|".join(_NAMES), "|".join(rf"{a}[_\-.]?{b}" for a, b in _NAMES_OF_TWO)))
 _PUBLIC_NAME = re.compile(r"public|(?:^|[_\-.])(?:max|min|num|count|next[_\-.]?page|page|csrf|cancellation|cancel|pagination)[_\-.]?token$", re.I)
 # What stands for a value instead of being one.
 _PLACEHOLDER = re.compile(
@@ -115,16 +112,23 @@ def checksum_ok(token: str) -> bool:
     return len(body) > 6 and _crc62(body[:-6]) == body[-6:]
 
 
-def _structured(kind: str, token: str) -> bool:
-    """Whether a token of an issuer's format can be real: JWT parts decode, and the random part isn't a filler."""
+def verified(kind: str, token: str) -> bool | None:
+    """Whether the checksum or structure of a token of an issuer's format holds; None if its kind has neither.
+
+    Old and invented tokens have no checksum, so a failed one doesn't reject a token; a JWT whose head isn't JSON is none.
+    """
     if kind == "jwt":
-        head = _b64(token.split(".")[0])
         try:
-            return isinstance(json.loads(head or b""), dict)
+            return isinstance(json.loads(_b64(token.split(".")[0]) or b""), dict)
         except ValueError:
             return False
-    if checksum_ok(token):
-        return True
+    return checksum_ok(token) if kind in ("github-token", "npm-token") else None
+
+
+def _structured(kind: str, token: str) -> bool:
+    """Whether a token of an issuer's format can be real: JWT parts decode, and the random part isn't a filler."""
+    if (holds := verified(kind, token)) or kind == "jwt":
+        return bool(holds)
     body = re.sub(r"^(?:github_pat_|gh[pousr]_|gl\w+-|xox\w-|npm_|[sr]k_(?:live|test)_|sk-|AKIA|ASIA|AIza|SG\.)", "", token)
     return len(set(body)) >= 6 and not re.search(r"(?i)example|xxxx|0{8}|1234567890abcdef|your|redacted|placeholder|sample", body)
 
@@ -227,9 +231,18 @@ def line_hits(line: str, before: str, language: str | None = None) -> list[tuple
 _CODE = {"python", "typescript", "javascript", "java", "go", "rust", "csharp", "tsx", "jsx", "vue", "kotlin", "c", "cpp"}
 
 
+_HEX, _BASE32 = re.compile(r"[0-9a-fA-F]+"), re.compile(r"[A-Z2-7]+")
+
+
 def placeholder(value: str) -> str:
-    """A string of the same length and character classes: letters become x or X, digits 0; everything else stays."""
-    return "".join("0" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in value)
+    """A string of the same length and alphabet, so that what decodes the value still decodes it.
+
+    Letters become x or X and digits 0; in hexadecimal text letters become a or A, in base 32 all become A or 2. Signs
+    stay. What is hexadecimal or base 32 is told from the letters and digits alone.
+    """
+    bare = "".join(c for c in value if c.isalnum())
+    low, up, digit = ("a", "A", "0") if _HEX.fullmatch(bare) else ("x", "A", "2") if _BASE32.fullmatch(bare) else ("x", "X", "0")
+    return "".join(digit if c.isdigit() else up if c.isupper() else low if c.isalpha() else c for c in value)
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -240,11 +253,15 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
-_OTHER_LINE = re.compile(r"[^\n]*\n?")
+#: A line of a private key: base 64, quoted or as a comment, or a header; a short one is the last.
+_KEY_LINE = re.compile(r"[\s\"'`+#*/;,.()\\-]*(?:([A-Za-z0-9+/]{16,}={0,2})|([A-Za-z0-9+/]{1,15}={0,2})|(?:Proc-Type|DEK-Info|Version|Comment): ?.*)?(?:\\[nr])*[\s\"'`+;,.()\\-]*")
+
 
+def scan(lines: list[str], language: str | None, automaton: ahocorasick.Automaton) -> dict[int, tuple[str, list[str], list[str]]]:
+    """Place of a line -> (redacted line, kinds, verified kinds), for lines on which a secret begins or goes on.
 
-def scan(lines: list[str], language: str | None, automaton: ahocorasick.Automaton) -> dict[int, tuple[str, list[str]]]:
-    """Place of a line -> (redacted line, kinds), for lines on which a secret begins or goes on."""
+    A private key goes on to its END line, or to the first line that can't be part of a key.
+    """
     text = "\n".join(lines)
     low = text.lower()
     if len(low) != len(text):  # a letter that grows in lower case
@@ -258,7 +275,7 @@ def scan(lines: list[str], language: str | None, automaton: ahocorasick.Automato
         while i + 1 < len(starts) and starts[i + 1] <= end:
             i += 1
         look.add(i)
-    found: dict[int, tuple[str, list[str]]] = {}
+    found: dict[int, tuple[str, list[str], list[str]]] = {}
     for i in sorted(look | {i + 1 for i in look if i + 1 < len(lines)}):
         if i in found and not found[i][1]:
             continue  # inside a private key that began above
@@ -271,12 +288,17 @@ def scan(lines: list[str], language: str | None, automaton: ahocorasick.Automato
                 out = out[:a] + placeholder(out[a:b]) + out[b:]
             else:
                 out = out[: a + m.end()] + _BODY.sub(lambda x: placeholder(x.group()), out[a + m.end() : b]) + out[b:]
-        found[i] = (out, sorted({k for _, _, k in hits}))
+        found[i] = (out, sorted({k for _, _, k in hits}), sorted({k for a, b, k in hits if verified(k, lines[i][a:b])}))
         if any(k == "private-key" for _, _, k in hits) and not _PEM_END.search(lines[i]):
             for j in range(i + 1, len(lines)):
-                if _PEM_END.search(lines[j]):
+                m = _KEY_LINE.fullmatch(lines[j])
+                if _PEM_END.search(lines[j]) or not m:
+                    break
+                at, last = m.span(1) if m[1] else m.span(2), bool(m[2])
+                if at[0] >= 0:
+                    found[j] = (lines[j][: at[0]] + placeholder(lines[j][at[0] : at[1]]) + lines[j][at[1] :], [], [])
+                if last:
                     break
-                found[j] = (_BODY.sub(lambda x: placeholder(x.group()), lines[j]), [])
     return found
 
 
@@ -284,31 +306,31 @@ _SEPARATOR = "\u001e"
 
 
 def find_secrets(units: DataFrame, with_text: bool = True) -> DataFrame:
-    """(unit_id, line_no, kinds, text): lines with secrets, with the secret replaced; once per line.
+    """(unit_id, line_no, kinds, verified, text): lines with secrets, with the secret replaced; once per line.
 
     A missing language is taken from the path, if there is one. ``kinds`` is empty for the later lines of a private
-    key. Null lines are empty; null or empty line lists give nothing; units sent again and repeated rows count once.
+    key; ``verified`` are those whose checksum or structure holds. Null lines are empty; null or empty line lists give nothing; units sent again and repeated rows count once.
     Only lines with a secret leave the Python workers.
     """
 
     def run(batches):
         automaton = _automaton()
         for b in batches:
-            out = {"unit_id": [], "line_no": [], "kinds": [], "text": []}
+            out = {"unit_id": [], "line_no": [], "kinds": [], "verified": [], "text": []}
             for uid, start, language, joined in zip(*(c.to_pylist() for c in b.columns)):
-                for i, (t, kinds) in scan(joined.split(_SEPARATOR), language, automaton).items():
-                    for name, x in zip(out, (uid, start + i, kinds, t if with_text else None)):
+                for i, (t, kinds, sure) in scan(joined.split(_SEPARATOR), language, automaton).items():
+                    for name, x in zip(out, (uid, start + i, kinds, sure, t if with_text else None)):
                         out[name].append(x)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    schema = pa.schema([("unit_id", pa.int64()), ("line_no", pa.int32()), ("kinds", pa.list_(pa.string())), ("text", pa.string())])
+    schema = pa.schema([("unit_id", pa.int64()), ("line_no", pa.int32()), ("kinds", pa.list_(pa.string())), ("verified", pa.list_(pa.string())), ("text", pa.string())])
     lines = F.array_join(F.transform("source_lines", lambda x: F.translate(F.coalesce(x, F.lit("")), _SEPARATOR, " ")), _SEPARATOR)
     language = F.lower("language_id")
     if "path" in units.columns:
         language = F.coalesce(language, detected_language(F.col("path"), F.lit(None).cast("string")))
     given = units.where(F.col("start_line").isNotNull() & (F.size("source_lines") > 0))
     given = given.select(F.col("unit_id").cast("long"), F.col("start_line").cast("int"), language.alias("language_id"), lines.alias("lines"))
-    hits = given.mapInArrow(run, "unit_id bigint, line_no int, kinds array<string>, text string")
+    hits = given.mapInArrow(run, "unit_id bigint, line_no int, kinds array<string>, verified array<string>, text string")
     return hits.dropDuplicates(["unit_id", "line_no"])
 
 
