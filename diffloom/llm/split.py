@@ -70,7 +70,7 @@ def split_units(units: DataFrame, limit: int = MAX_ADDED, overlap: int = OVERLAP
     """(unit_id, piece, start_line, end_line, added_lines, source_lines): the pieces of units above ``limit``.
 
     Every piece but the first repeats the ``overlap`` lines before it; its ``start_line`` is that of the first repeated
-    line. Units sent again count once (the earliest row by ingested_at, if there is one); null line lists, null added
+    line. Units sent again count once (the earliest row by ingested_at, if there is such a column); null line lists, null added
     lists and line numbers outside the unit count as none; lines that are missing from ``source_lines`` are blank. If
     merging would leave a short rest it stays a piece of its own. Units at or below the limit are not in the result.
     """
@@ -91,5 +91,7 @@ def split_units(units: DataFrame, limit: int = MAX_ADDED, overlap: int = OVERLAP
 
     schema = pa.schema([("unit_id", pa.int64()), ("piece", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("added_lines", pa.int32()), ("source_lines", pa.list_(pa.string()))])
     large = units.where(added_count(F.col("added_line_numbers"), F.col("start_line"), F.col("end_line")) > limit)
-    large = large.select(F.col("unit_id").cast("long"), "start_line", "end_line", "added_line_numbers", "source_lines").dropDuplicates(["unit_id"])
+    when = F.col("ingested_at") if "ingested_at" in units.columns else F.lit(0)
+    unit = F.struct("start_line", "end_line", "added_line_numbers", "source_lines")
+    large = large.groupBy(F.col("unit_id").cast("long").alias("unit_id")).agg(F.min_by(unit, F.struct(when, F.xxhash64(unit))).alias("u")).select("unit_id", "u.*")
     return large.mapInArrow(run, "unit_id bigint, piece int, start_line int, end_line int, added_lines int, source_lines array<string>")
