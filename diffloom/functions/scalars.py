@@ -75,6 +75,42 @@ def guarded(p: Column, guards: Column) -> Column:
     return round_to(F.aggregate(F.coalesce(guards, F.array()), start, lambda acc, g: acc * F.pow(F.lit(1.0) - F.coalesce(g["p"], F.lit(0.0)), g["weight"])))
 
 
+def fused(p: Column, guards: Column, bias: Column | float, main: Column | float, guard: Column | float) -> Column:
+    """The logistic form: sigmoid(bias + main p + guard mean(guards)), rounded to 6 places; no guards have the mean 0."""
+    g = F.coalesce(guards, F.array())
+    mean = F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda acc, x: acc + F.coalesce(x["p"], F.lit(0.0))) / F.size(g)).otherwise(F.lit(0.0))
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    return round_to(sigmoid(as_column(bias) + as_column(main) * F.coalesce(p, F.lit(0.0)) + as_column(guard) * mean))
+
+
+def scored_severity(score: Column, confidence: Column, levels: Sequence[str] = SEVERITIES, default: str = "medium") -> Column:
+    """The level of a rounded score, held within the levels; ``default`` where the confidence is below 0.4 or either is null."""
+    place = F.least(F.greatest(F.floor(score + 0.5), F.lit(0)), F.lit(len(levels) - 1)).cast("int")
+    return F.when((confidence >= 0.4) & score.isNotNull(), F.element_at(F.array(*map(F.lit, levels)), place + 1)).otherwise(F.lit(default))
+
+
+def alert_severity(score: Column, level: Column) -> Column:
+    """high from a score of 2 on, low up to 0, medium between; without a score by the level of the alert."""
+    by_level = F.when(level == "error", "high").when(level.isin("note", "none"), "low").otherwise("medium")
+    return F.when(score >= 2, "high").when(score <= 0, "low").when(score.isNotNull(), "medium").otherwise(by_level)
+
+
+def truncated(text: Column, n: int) -> Column:
+    """The text, or its first ``n`` - 1 characters and an ellipsis if it is longer."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
+
+
+def escaped(text: Column) -> Column:
+    """The text as a regular expression that matches it literally."""
+    return F.regexp_replace(text, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+
+
+def fenced_json(text: Column, schema: str) -> Column:
+    """A JSON object that may stand in a code fence, as ``schema``; null if it doesn't parse."""
+    inner = F.regexp_extract(F.trim(text), r"(?is)^```(?:json)?\s*(.*?)```$", 1)
+    return F.from_json(F.when(inner != "", F.trim(inner)).otherwise(F.trim(text)), schema)
+
+
 def squash(text: Column) -> Column:
     """Trimmed text with runs of white space made one blank."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -90,6 +126,20 @@ def redact_text(text: Column) -> Column:
     return reduce(lambda t, kv: F.regexp_replace(t, kv[1], f"[REDACTED:{kv[0]}]"), REDACTED, text)
 
 
+# Names whose quoted values are secrets, and values that only stand for one.
+SECRET_NAMES = r"\b(password|passwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)\b"
+STAND_INS = r"example|changeme|placeholder|redacted|dummy|fake|todo|test|password|secret|token|your[-_].*|x{4,}|<[^>]+>"
+
+
+def redact_assignments(text: Column) -> Column:
+    """The text with quoted values of secret-named variables replaced by [REDACTED:secret].
+
+    Values under eight characters, stand-ins, values with "example" and already redacted ones stay.
+    """
+    one = lambda t, q: F.regexp_replace(t, rf"(?i){SECRET_NAMES}(\s*[:=]\s*){q}(?!(?:{STAND_INS}){q})(?![^'\"]*(?:example|\[REDACTED:))[^'\"]{{8,}}{q}", f"$1$2{q}[REDACTED:secret]{q}")
+    return one(one(text, '"'), "'")
+
+
 def secret_kinds(text: Column) -> Column:
     """Array of the kinds of tokens in the text."""
     kinds = F.array(*(F.when(text.rlike(p), F.lit(k)) for k, p in REDACTED))

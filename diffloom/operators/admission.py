@@ -2,43 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from diffloom.operators.fold import folded
 
 
 def admitted(requests: DataFrame, key: str, order: list[str], cost: str, budget: int) -> DataFrame:
-    """``requests`` with ``admitted``: greedy in order within each key; a rejected request spends nothing.
+    """(key, order.., cost, admitted): greedy in order within each key; a rejected request spends nothing.
 
-    A fold over one key's requests, since later smaller requests may still fit. Costs must not be null or negative.
+    A fold, since later smaller requests may still fit. A null cost counts as 0.
     """
-    row = F.struct(*order, F.col(cost).cast("long").alias("_cost"))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<boolean>").alias("ok"))
+    rows = requests.select(key, *order, F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias(cost))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["spent"] + x["_cost"] <= budget
-        return F.struct((acc["spent"] + F.when(fits, x["_cost"]).otherwise(F.lit(0).cast("long"))).alias("spent"), F.concat(acc["ok"], F.array(fits)).alias("ok"))
+    def step(spent: int, c: int):
+        fits = spent + c <= budget
+        return (spent + c if fits else spent), fits
 
-    per = requests.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_r"))
-    folded = per.select(key, "_r", F.aggregate("_r", start, step)["ok"].alias("_ok"))
-    return folded.select(key, F.explode(F.arrays_zip("_r", "_ok")).alias("z")).select(key, "z._r.*", F.col("z._ok").alias("admitted")).withColumnRenamed("_cost", cost)
+    return folded(rows, [key], order, [cost], 0, step, "admitted", "boolean")
 
 
 def batches(questions: DataFrame, key: str, order: str, tokens: str, shared: int, total: int = 60_000, single: int = 30_000) -> DataFrame:
-    """``questions`` with ``batch``: greedy batches per key under a total and a largest size; the first always fits.
+    """(key, order, tokens, batch): greedy batches per key under a total and a largest size; the first always fits.
 
     ``shared`` tokens (state and shared questions) count in every batch. A question above ``single`` gets a batch of
     its own.
     """
-    row = F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("top"), F.array().cast("array<int>").alias("out"))
+    rows = questions.select(key, order, F.col(tokens).cast("long").alias(tokens))
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["sum"] > 0) & ((shared + acc["sum"] + x["t"] > total) | (shared + F.greatest(acc["top"], x["t"]) > single))
-        b = acc["batch"] + F.when(full, 1).otherwise(0)
-        return F.struct(b.alias("batch"), (F.when(full, F.lit(0).cast("long")).otherwise(acc["sum"]) + x["t"]).alias("sum"), F.greatest(F.when(full, F.lit(0).cast("long")).otherwise(acc["top"]), x["t"]).alias("top"), F.concat(acc["out"], F.array(b)).alias("out"))
+    def step(state: tuple, t: int):
+        batch, held, top = state
+        if held > 0 and (shared + held + t > total or shared + max(top, t) > single):
+            batch, held, top = batch + 1, 0, 0
+        return (batch, held + t, max(top, t)), batch
 
-    per = questions.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_r"))
-    folded = per.select(key, "_r", F.aggregate("_r", start, step)["out"].alias("_b"))
-    return folded.select(key, F.explode(F.arrays_zip("_r", "_b")).alias("z")).select(key, F.col("z._r.o").alias(order), F.col("z._r.t").alias(tokens), F.col("z._b").alias("batch"))
+    return folded(rows, [key], [order], [tokens], (0, 0, 0), step, "batch", "int")
 
 
 def capped(requests: DataFrame, key: str, order: list[str], limit: int) -> DataFrame:
@@ -50,8 +47,26 @@ def capped(requests: DataFrame, key: str, order: list[str], limit: int) -> DataF
 def rates(requests: DataFrame, at: str, window_s: int, *keys: str) -> DataFrame:
     """``requests`` with ``recent``: how many of their key came within the ``window_s`` seconds up to them.
 
-    Times are compared in whole microseconds.
+    Times are compared in whole microseconds. A key's rows are parted by buckets of the window's width, each with the
+    rows of the bucket before it, so a frequent key is spread over as many tasks as it has buckets.
     """
-    w = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-window_s * 1_000_000, 0)
+    width = window_s * 1_000_000
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    return requests.withColumn("_us", micros).withColumn("recent", F.count(F.lit(1)).over(w)).drop("_us")
+    own = F.floor(F.col("_us") / width)
+    both = requests.withColumn("_us", micros).withColumn("_bucket", F.explode(F.array(own, own + 1)))
+    w = Window.partitionBy(*keys, "_bucket").orderBy("_us").rangeBetween(-width, 0)
+    return both.withColumn("recent", F.count(F.lit(1)).over(w)).where(F.col("_bucket") == own).drop("_us", "_bucket")
+
+
+def token_bucket(requests: DataFrame, at: str, tokens: str, rate: int, *keys: str) -> DataFrame:
+    """``requests`` with ``admitted``: whether they fit the ``rate`` tokens of their key's second (a fixed window).
+
+    In order of time and tokens; a request above the rate is admitted where it is the first of its second.
+    """
+    rows = requests.withColumn("_second", F.floor(F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000))
+
+    def step(spent: int, t: int):
+        fits = spent == 0 or spent + t <= rate
+        return (spent + t if fits else spent), fits
+
+    return folded(rows, [*keys, "_second"], [at, tokens], [tokens], 0, step, "admitted", "boolean").drop("_second")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from diffloom.operators.skew import SALTS
+from diffloom.operators.skew import dictionary_join, hot_keys
 
 #: Lines per bucket of the range join; a span is repeated once per bucket it touches.
 BUCKET = 256
@@ -12,9 +12,10 @@ BUCKET = 256
 GRAM = 8
 
 
-def alerts_on_lines(alerts: DataFrame, added: DataFrame) -> DataFrame:
-    """Alerts whose (repo, path, line) is among the added lines."""
-    return alerts.join(added.select("repo", "path", "line").distinct(), ["repo", "path", "line"], "left_semi")
+def alerts_on_lines(alerts: DataFrame, added: DataFrame, context: int = 0) -> DataFrame:
+    """Alerts whose (repo, path, line) is among the added lines, or up to ``context`` lines from one."""
+    near = added.select("repo", "path", F.explode(F.sequence(F.greatest(F.col("line") - context, F.lit(1)), F.col("line") + context)).alias("line")) if context else added.select("repo", "path", "line")
+    return alerts.join(near.distinct(), ["repo", "path", "line"], "left_semi")
 
 
 def alert_units(alerts: DataFrame, units: DataFrame, key: str = "raw_id") -> DataFrame:
@@ -31,36 +32,48 @@ def alert_units(alerts: DataFrame, units: DataFrame, key: str = "raw_id") -> Dat
 
 
 def publish_plan(current: DataFrame, known: DataFrame, lines: DataFrame) -> DataFrame:
-    """(fingerprint, action): resolved, duplicate, inline or folded, from current findings and known fingerprints.
+    """(repo, fingerprint, action): resolved, duplicate, inline or folded, from current findings and known fingerprints.
 
-    ``lines`` (path, line_no) are the lines that can carry a comment.
+    All three tables have a repository; ``lines`` (repo, path, line_no) are the lines that can carry a comment. A null
+    repository is one of its own.
     """
-    k = known.select("fingerprint").distinct().withColumn("_known", F.lit(True))
-    c = current.groupBy("fingerprint").agg(F.min(F.struct("path", "line_no")).alias("_at"))
-    both = c.join(k, "fingerprint", "full")
-    at = lines.select("path", "line_no").distinct().withColumn("_line", F.lit(True))
-    placed = both.select("fingerprint", F.col("_at").isNotNull().alias("_current"), "_known", F.col("_at.path").alias("path"), F.col("_at.line_no").alias("line_no")).join(at, ["path", "line_no"], "left")
+    repo = F.coalesce("repo", F.lit("")).alias("repo")
+    k = known.select(repo, "fingerprint").distinct().withColumn("_known", F.lit(True))
+    c = current.groupBy(repo, "fingerprint").agg(F.min(F.struct("path", "line_no")).alias("_at"))
+    both = c.join(k, ["repo", "fingerprint"], "full")
+    at = lines.select(repo, "path", "line_no").distinct().withColumn("_line", F.lit(True))
+    placed = both.select("repo", "fingerprint", F.col("_at").isNotNull().alias("_current"), "_known", F.col("_at.path").alias("path"), F.col("_at.line_no").alias("line_no")).join(at, ["repo", "path", "line_no"], "left")
     action = F.when(~F.col("_current"), "resolved").when(F.col("_known"), "duplicate").when(F.col("_line"), "inline").otherwise("folded")
-    return placed.select("fingerprint", action.alias("action"))
+    return placed.select("repo", "fingerprint", action.alias("action"))
 
 
-def band_drift(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+def band_drift(before: DataFrame, after: DataFrame, *keys: str, order: str | None = None, model: str | None = None) -> DataFrame:
     """(pairs, changed, rate, ok): how many keys change their band between two runs; ok up to one in twenty.
 
-    ``before`` and ``after`` have one row per key.
+    Of several rows of ``after`` with one key the last by ``order`` counts. Runs of more than one ``model`` can't be
+    compared: no pairs, rate 1, not ok.
     """
-    both = before.select(*keys, F.col("band").alias("_b")).join(after.select(*keys, F.col("band").alias("_a")), list(keys))
+    last = after.groupBy(*keys).agg(F.max_by("band", order or F.lit(0)).alias("_a"))
+    both = before.select(*keys, F.col("band").alias("_b")).join(last, list(keys))
     changed = F.count_if(F.col("_a") != F.col("_b"))
     n = F.count(F.lit(1))
-    rate = F.when(n > 0, changed / n).otherwise(F.lit(0.0))
-    return both.agg(n.alias("pairs"), changed.alias("changed"), rate.alias("rate"), (rate <= 0.05).alias("ok"))
-
-
-def cache_split(requests: DataFrame, cache: DataFrame, key: str = "request_key") -> DataFrame:
-    """``requests`` with ``hit``: whether their key is in the cache. Equal keys may be frequent, so they are salted."""
-    salted = requests.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    present = cache.select(key).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))).withColumn("hit", F.lit(True))
-    return salted.join(present, [key, "_salt"], "left").drop("_salt").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    out = both.agg(n.alias("pairs"), changed.alias("changed"))
+    if model:
+        models = before.select(model).unionByName(after.select(model)).agg((F.countDistinct(model) == 1).alias("_one"))
+    else:
+        models = before.sparkSession.range(1).select(F.lit(True).alias("_one"))
+    out = out.withColumn("_k", F.lit(0)).join(models.withColumn("_k", F.lit(0)), "_k")  # one row each
+    rate = F.when(~F.col("_one"), F.lit(1.0)).when(F.col("pairs") > 0, F.col("changed") / F.col("pairs")).otherwise(F.lit(0.0))
+    none = lambda c: F.when(F.col("_one"), F.col(c)).otherwise(F.lit(0)).alias(c)
+    return out.select(none("pairs"), none("changed"), rate.alias("rate"), (rate <= 0.05).alias("ok"))
+
+
+def cache_split(requests: DataFrame, cache: DataFrame, spread: str, key: str = "request_key") -> DataFrame:
+    """``requests`` with ``hit``: whether their key is in the cache; frequent keys are spread by column ``spread``."""
+    counted = requests.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(counted, key, "n", requests.count())
+    present = cache.select(key).distinct().withColumn("hit", F.lit(True))
+    return dictionary_join(requests, present, key, spread, hot, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def request_key(*parts: Column) -> Column:

@@ -26,15 +26,35 @@ def maxima(df: DataFrame, *keys: str, name: str, value: str) -> DataFrame:
     return per.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "_v")))).alias("values"))
 
 
+def unit_risks(df: DataFrame, *keys: str, name: str, value: str) -> DataFrame:
+    """(keys.., unit_risk, dimensions): per unit the largest value of its dimensions (0 without any), and their map."""
+    per = maxima(df, *keys, name=name, value=value)
+    return per.select(*keys, round_to(F.coalesce(F.array_max(F.map_values("values")), F.lit(0.0))).alias("unit_risk"), F.col("values").alias("dimensions"))
+
+
+def file_risks(units: DataFrame, *keys: str) -> DataFrame:
+    """(keys.., risk, units, priority, deep_review) from units (keys.., unit_risk, priority, reported).
+
+    ``deep_review``: a risk of 0.8 or more where nothing is reported, or where a unit's priority is 2.5 or more.
+    """
+    per = noisy_or(units, *keys, p="unit_risk", also=(F.max("priority").alias("priority"), F.max(F.col("reported").cast("int")).alias("_r")))
+    deep = (F.col("risk") >= 0.8) & ((F.col("_r") == 0) | (F.col("priority") >= 2.5))
+    return per.select(*keys, "risk", F.col("n").alias("units"), "priority", deep.alias("deep_review"))
+
+
 def severity_counts(found: DataFrame, *keys: str) -> DataFrame:
     """(keys.., critical, high, medium, low): counts with zeros."""
     return found.groupBy(*keys).agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")))
 
 
 def verdicts(found: DataFrame, *keys: str, fail_on: str = "high", minimum: float = 0.8) -> DataFrame:
-    """(keys.., decision, blocking): request_changes, comment or approve, from how many findings pass the gate."""
+    """(keys.., decision, blocking): request_changes, comment or approve, from how many findings pass the gate.
+
+    A row with a true ``injection``, if there is such a column, leads to a comment at least.
+    """
     rank = {"low": 0, "medium": 1, "high": 2, "critical": 3}[fail_on]
     reported = F.col("band") == "report"
     blocking = F.count_if(reported & (severity_rank(F.col("severity")) >= rank) & (F.col("p_eff") >= minimum))
-    decision = F.when(blocking > 0, "request_changes").when(F.count_if(reported) > 0, "comment").otherwise("approve")
+    spoken = F.count_if(F.col("injection")) if "injection" in found.columns else F.lit(0)
+    decision = F.when(blocking > 0, "request_changes").when((F.count_if(reported) > 0) | (spoken > 0), "comment").otherwise("approve")
     return found.groupBy(*keys).agg(decision.alias("decision"), blocking.alias("blocking"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from diffloom.operators.fold import folded
+
 MAX_ADDED = 120
 OVERLAP = 5
 MERGE_GAP = 6
@@ -16,6 +18,9 @@ SIGNATURES = {
 }
 BRACED = r"^\s*(?:export\s+)?(?:default\s+)?(?:public|private|protected|internal|static|sealed|abstract|final|async|\s)*(?:class|interface|enum|struct|function)\b|^\s*(?:[\w<>\[\],.?]+\s+)+\w+\s*\([^;]*\)\s*\{?\s*$"
 
+# How an import line begins, or what it holds.
+IMPORT = r"^(?:import|from|package|using|use) |require\("
+
 
 def window_spans(n: Column, limit: int = MAX_ADDED, overlap: int = OVERLAP) -> Column:
     """Array of (chunk, first, last), 1-based, that cover ``n`` lines in chunks of up to ``limit`` sharing ``overlap``.
@@ -38,23 +43,43 @@ def added_runs(files: DataFrame, key: str = "file_id") -> DataFrame:
     return lines.withColumn("_island", island).groupBy(key, "_island").agg(F.min("line").alias("run_start"), F.max("line").alias("run_end"), F.count(F.lit(1)).cast("int").alias("added")).drop("_island")
 
 
-def merged_units(runs: DataFrame, key: str = "file_id", gap: int = MERGE_GAP, limit: int = MAX_ADDED) -> DataFrame:
-    """(key, unit_no, start_line, end_line, added): neighbouring runs merged while the gap and the cap allow.
+def merged_units(runs: DataFrame, key: str = "file_id", gap: int = MERGE_GAP, limit: int = MAX_ADDED, scope: str | None = None) -> DataFrame:
+    """(key, unit_no, start_line, end_line, added): neighbouring runs merged while the gap, the cap and the scope allow.
 
-    The cap makes the result depend on the order, so each file's runs are folded in line order; a fold holds one
-    file's runs, which the file gate bounds.
+    Runs are of one scope if both have none or the same; that of a merged unit is the scope of its first run. The cap
+    makes the result depend on the order, so each file's runs are folded in line order, one state at a time.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("run_start").alias("s"), F.col("run_end").alias("e"), F.col("added").alias("n"))))
-    empty = F.array().cast("array<struct<s:int,e:int,n:int>>")
+    rows = runs.select(key, "run_start", "run_end", "added", (F.col(scope).cast("string") if scope else F.lit(None).cast("string")).alias("_scope"))
+
+    def step(state: tuple, start: int, end: int, n: int, at: str | None):
+        unit, last, held, where = state
+        if last is not None and 0 <= start - last <= gap and held + n <= limit and at == where:
+            return (unit, end, held + n, where), unit
+        unit = unit + 1 if last is not None else 0
+        return (unit, end, n, at), unit
+
+    per = folded(rows, [key], ["run_start"], ["run_start", "run_end", "added", "_scope"], (0, None, 0, None), step, "unit_no", "int")
+    return per.groupBy(key, "unit_no").agg(F.min("run_start").alias("start_line"), F.max("run_end").alias("end_line"), F.sum("added").cast("int").alias("added"))
+
 
-    def step(acc: Column, run: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (run["s"] - F.when(F.size(acc) > 0, last["e"]) <= gap) & (F.when(F.size(acc) > 0, last["n"]) + run["n"] <= limit)
-        merged = F.struct(last["s"].alias("s"), run["e"].alias("e"), (last["n"] + run["n"]).alias("n"))
-        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(merged))).otherwise(F.concat(acc, F.array(run)))
+def _blank(x: Column) -> Column:
+    return F.trim(x) == ""
 
-    folded = runs.groupBy(key).agg(F.aggregate(ordered.cast("array<struct<s:int,e:int,n:int>>"), empty, step).alias("u"))
-    return folded.select(key, F.posexplode("u").alias("unit_no", "u")).select(key, "unit_no", F.col("u.s").alias("start_line"), F.col("u.e").alias("end_line"), F.col("u.n").alias("added"))
+
+def _wide(x: Column) -> Column:
+    return F.length(F.regexp_extract(x, r"^(\s*)", 1))
+
+
+def enclosing_scope(lines: Column, at: Column, language: Column) -> Column:
+    """The 1-based number of the line that encloses line ``at``, or null.
+
+    The nearest of the SCOPE_REACH lines before it that is indented less and looks like the head of a scope.
+    """
+    signature = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in SIGNATURES.items() for x in kv)), language), F.lit(BRACED))
+    own = F.coalesce(F.get(lines, at - 1), F.lit(""))
+    first = F.greatest(at - SCOPE_REACH, F.lit(1))
+    before = F.transform(F.slice(lines, first, F.greatest(at - first, F.lit(0))), lambda x, i: F.struct((first + i).alias("n"), F.coalesce(x, F.lit("")).alias("x")))
+    return F.try_element_at(F.filter(before, lambda s: ~_blank(s["x"]) & (_wide(s["x"]) < _wide(own)) & F.regexp(s["x"], signature)), F.lit(-1))["n"]
 
 
 def with_scope(units: DataFrame) -> DataFrame:
@@ -63,18 +88,16 @@ def with_scope(units: DataFrame) -> DataFrame:
     The nearest earlier line within SCOPE_REACH lines that is indented less and looks like the head of a scope, as a
     1-based place in the unit; null if there is none.
     """
-    blank = lambda x: F.trim(x) == ""
-    wide = lambda x: F.length(F.regexp_extract(x, r"^(\s*)", 1))
-    lines = F.filter(F.transform("source_lines", lambda x, i: F.struct(i.alias("i"), F.coalesce(x, F.lit("")).alias("x"))), lambda s: ~blank(s["x"]))
+    lines = F.filter(F.transform("source_lines", lambda x, i: F.struct(i.alias("i"), F.coalesce(x, F.lit("")).alias("x"))), lambda s: ~_blank(s["x"]))
     signature = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in SIGNATURES.items() for x in kv)), F.col("language_id")), F.lit(BRACED))
     df = units.withColumn("_l", lines).withColumn("_sig", signature).withColumn("_o", F.try_element_at("_l", F.lit(-1)))
-    heads = F.filter("_l", lambda s: (s["i"] < F.col("_o.i")) & (s["i"] >= F.col("_o.i") - SCOPE_REACH) & (wide(s["x"]) < wide(F.col("_o.x"))) & F.regexp(s["x"], F.col("_sig")))
+    heads = F.filter("_l", lambda s: (s["i"] < F.col("_o.i")) & (s["i"] >= F.col("_o.i") - SCOPE_REACH) & (_wide(s["x"]) < _wide(F.col("_o.x"))) & F.regexp(s["x"], F.col("_sig")))
     return df.withColumn("scope_line", F.try_element_at(heads, F.lit(-1))["i"] + 1).drop("_l", "_sig", "_o")
 
 
 def imports(lines: DataFrame, key: str, limit: int = 40) -> DataFrame:
     """(key, line_no, line): the first ``limit`` import lines of each text, trimmed."""
-    hit = F.trim("line").rlike(r"^(?:import|from|package|using|use) |require\(")
+    hit = F.trim("line").rlike(IMPORT)
     w = Window.partitionBy(key).orderBy("line_no")
     return lines.where(hit).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).select(key, "line_no", F.trim("line").alias("line"))
 

@@ -147,7 +147,7 @@ def cache_split(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "static_alert_lines")
     requests = rows.select("raw_id", alerts.request_key(F.col("feed"), F.floor(F.col("raw_id") / 3).alias("raw_id")).alias("request_key"))
     cache = rows.where("run_at < TIMESTAMP_NTZ'2026-01-01'").select(alerts.request_key(F.col("feed"), F.col("raw_id")).alias("request_key"))
-    return alerts.cache_split(requests, cache)
+    return alerts.cache_split(requests, cache, "raw_id")
 
 
 @query("sarif_roundtrip")

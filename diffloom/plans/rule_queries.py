@@ -6,32 +6,54 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from diffloom.functions import scalars as S
 from diffloom.operators import admission, alerts, risk, rules
-from diffloom.operators.rules import PACK, PROFILES
-from diffloom.plans.line_queries import _UNIT_LINES
+from diffloom.functions.scalars import HIT
+from diffloom.operators.rules import ALWAYS, NO_HIT, PACK, PROFILES
 from diffloom.plans.registry import query, r6
 from diffloom.session import spread_table, staged, table
 from diffloom.sources import sinks
-from diffloom.sources.text import exploded_lines
 
 
 def _q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def _rule_sql(r: rules.Rule) -> str:
-    """One rule as SQL over the lines ``l``."""
-    where = f"regexp_matches(line, {_q(r.pattern)})"
+def _applies_sql(r: rules.Rule) -> str:
+    """Where a rule applies, as SQL over units or lines."""
+    where = "true"
     if r.languages:
         where += f" AND lower(language_id) IN ({', '.join(map(_q, r.languages))})"
-    for p in r.paths:
-        core = p.replace("**/", "").replace("/**", "")
-        where += f" AND contains('/' || lower(replace(path, chr(92), '/')), {_q('/' + core + '/')})"
+    if r.frameworks:
+        where += f" AND list_has_any(frameworks, [{', '.join(map(_q, r.frameworks))}])"
+    if r.min_added:
+        where += f" AND n_added >= {r.min_added}"
+    if r.paths:
+        cores = [p.replace("**/", "").replace("/**", "") for p in r.paths]
+        where += " AND (" + " OR ".join(f"contains('/' || lower(replace(path, chr(92), '/')), {_q('/' + c + '/')})" for c in cores) + ")"
+    return where
+
+
+def _added_sql(tag: str) -> str:
+    """Added lines ``l`` of the units ``u``, with the rule ids that markers turn off."""
+    mark = lambda c: f"CASE WHEN contains({c}, '{tag}') THEN coalesce(nullif(regexp_extract({c}, '{tag}\\s+(\\S+)', 1), ''), '*') ELSE '' END"
+    return f"""
+    u AS (SELECT DISTINCT unit_id, file_id, repo, path, language_id, frameworks, start_line, source_lines,
+        list_sort(list_distinct(list_filter(added_line_numbers, lambda n: n >= start_line AND n < start_line + len(source_lines)))) AS numbers FROM review_units WHERE source_lines IS NOT NULL AND start_line IS NOT NULL),
+    n AS (SELECT *, coalesce(len(numbers), 0) AS n_added FROM u),
+    e AS (SELECT unit_id, repo, path, language_id, frameworks, n_added, unnest(numbers) AS line_no, start_line, source_lines FROM n),
+    el AS (SELECT * EXCLUDE (start_line, source_lines), source_lines[line_no - start_line + 1] AS line, CASE WHEN line_no > start_line THEN source_lines[line_no - start_line] END AS before FROM e),
+    l AS (SELECT *, coalesce({mark('line')}, '') AS off_here, coalesce({mark('before')}, '') AS off_before FROM el)
+    """
+
+
+def _rule_sql(r: rules.Rule, off: str = "NOT") -> str:
+    """One rule as SQL over the lines ``l``."""
+    where = f"regexp_matches(line, {_q(r.pattern)}) AND {_applies_sql(r)} AND {off} (off_here IN ('*', {_q(r.id)}) OR off_before IN ('*', {_q(r.id)}))"
     guard = f"CASE WHEN regexp_matches(line, {_q(r.guard)}) THEN 0.9::DOUBLE ELSE 0.05::DOUBLE END" if r.guard else "0::DOUBLE"
     rank = S.SEVERITIES.index(r.severity)
     return f"SELECT unit_id, repo, path, line_no::INT AS line_no, {_q(r.id)} AS rule_id, {_q(r.category)} AS category, {_q(r.severity)} AS severity, {rank} AS sev, {r6(f'0.9::DOUBLE * pow(1 - {guard}, {r.guard_weight})')} AS p_eff FROM l WHERE {where}"
 
 
-_MATCHES = f"{_UNIT_LINES}, m AS ({' UNION ALL '.join(map(_rule_sql, PACK))})"
+_MATCHES = f"{_added_sql(rules.MARKER)}, m AS ({' UNION ALL '.join(map(_rule_sql, PACK))})"
 
 
 def _band_sql(profile: str, p: str = "p_eff") -> str:
@@ -48,23 +70,114 @@ _FINDINGS = f"""{_MATCHES},
 
 
 def matches(spark: SparkSession, d: str) -> DataFrame:
-    """Every rule hit on every unit line, once: units sent again repeat their hits, which are far fewer than lines."""
-    lines = exploded_lines(spread_table(spark, d, "review_units"), "source_lines", "unit_id", "repo", "path", "language_id", start=F.col("start_line"))
-    return rules.rule_matches(lines, "unit_id", "repo", "path").dropDuplicates(["unit_id", "line_no", "rule_id"])
+    """Every rule hit on every added line, once: units sent again repeat their hits, which are far fewer than lines."""
+    units = rules.prepared(spread_table(spark, d, "review_units"), "unit_id", "repo")
+    return rules.rule_matches(rules.added_lines(units, "unit_id", "repo"), "unit_id", "repo", "path").dropDuplicates(["unit_id", "line_no", "rule_id"])
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
     """Findings of all units, one per (repo, path, line, category)."""
-    lines = exploded_lines(spread_table(spark, d, "review_units"), "source_lines", "repo", "path", "language_id", start=F.col("start_line"))
-    return rules.findings(rules.rule_matches(lines, "repo", "path"), "repo", "path")
+    units = rules.prepared(spread_table(spark, d, "review_units"), "repo")
+    return rules.findings(rules.rule_matches(rules.added_lines(units, "repo"), "repo", "path"), "repo", "path")
 
 
 @query("rule_match", f"WITH {_MATCHES} SELECT unit_id, line_no, rule_id, category, severity, p_eff FROM m")
 def rule_match(spark: SparkSession, d: str) -> DataFrame:
-    """All hits of the pack with their guarded probability."""
+    """All hits of the pack on added lines with their guarded probability."""
     return matches(spark, d).select("unit_id", "line_no", "rule_id", "category", "severity", "p_eff")
 
 
+#: A marker that occurs in the tables, to have something to turn off.
+_TAG = "limit"
+
+
+@query(
+    "rule_suppressed",
+    f"WITH {_added_sql(_TAG)}, m AS ({' UNION ALL '.join(_rule_sql(r, '') for r in PACK + rules.WIDE_PACK[1:2])}) SELECT unit_id, line_no, rule_id FROM m",
+)
+def rule_suppressed(spark: SparkSession, d: str) -> DataFrame:
+    """Hits that a marker on their line or the line before turns off."""
+    units = rules.prepared(spread_table(spark, d, "review_units"), "unit_id", marker=_TAG)
+    hits = rules.rule_matches(rules.added_lines(units, "unit_id"), "unit_id", rules=PACK + rules.WIDE_PACK, marked=True)
+    return hits.where(F.col("rule_id") != rules.WIDE_PACK[0].id).select("unit_id", "line_no", "rule_id").distinct()
+
+
+def _pool_sql(r: rules.Rule) -> str:
+    begin = f"strpos(pool, regexp_extract(pool, {_q(r.pattern)}))"
+    place = f"len(string_split(left(pool, {begin} - 1), chr(10)))"
+    return f"SELECT unit_id, numbers[{place}]::INT AS line_no, {_q(r.id)} AS rule_id FROM p WHERE regexp_matches(pool, {_q(r.pattern)}) AND {_applies_sql(r)} AND len(list_filter(texts, lambda t: regexp_matches(t, {_q(r.pattern)}))) = 0"
+
+
+@query(
+    "rule_added",
+    f"""
+    WITH {_added_sql(rules.MARKER)}, m AS ({_rule_sql(rules.WIDE_PACK[0])} UNION ALL {_rule_sql(rules.WIDE_PACK[1])}),
+    t AS (SELECT unit_id, any_value(path) AS path, any_value(language_id) AS language_id, any_value(frameworks) AS frameworks, any_value(n_added) AS n_added, list(line_no ORDER BY line_no) AS numbers, list(coalesce(line, '') ORDER BY line_no) AS texts FROM l GROUP BY unit_id),
+    p AS (SELECT *, array_to_string(texts, chr(10)) AS pool FROM t)
+    SELECT unit_id, line_no, rule_id FROM m UNION ALL {_pool_sql(rules.WIDE_PACK[0])}
+    """,
+)
+def rule_added(spark: SparkSession, d: str) -> DataFrame:
+    """Hits on added lines by frameworks, and over line ends where no single line hits."""
+    units = rules.prepared(spread_table(spark, d, "review_units"), "unit_id")
+    hits = rules.rule_matches(rules.added_lines(units, "unit_id"), "unit_id", rules=rules.WIDE_PACK)
+    return hits.unionByName(rules.pool_matches(units, "unit_id", rules=rules.WIDE_PACK)).select("unit_id", "line_no", "rule_id").distinct()
+
+
+def _unit_rule_sql(r: rules.Rule) -> str:
+    p = f"{HIT if r.trigger == 'removed' else ALWAYS}::DOUBLE"
+    p = p if not r.anti and not r.hint else f"CASE {f'WHEN regexp_matches(pool, {_q(r.anti)}) THEN {NO_HIT}::DOUBLE ' if r.anti else ''}{f'WHEN regexp_matches(pool, {_q(r.hint)}) THEN {HIT}::DOUBLE ' if r.hint else ''}ELSE {p} END"
+    low = r.thresholds or PROFILES["balanced"]
+    return f"SELECT unit_id, {_q(r.id)} AS rule_id, {p} AS p, CASE WHEN {p} >= {low[0]}::DOUBLE THEN 'report' WHEN {p} >= {low[1]}::DOUBLE THEN 'uncertain' ELSE 'drop' END AS band FROM p WHERE {_applies_sql(r)}{' AND deleted > 0' if r.trigger == 'removed' else ''}"
+
+
+_UNIT_RULES = f"""{_added_sql(rules.MARKER)},
+    t AS (SELECT unit_id, array_to_string(list(coalesce(line, '') ORDER BY line_no), chr(10)) AS pool FROM l GROUP BY unit_id),
+    f AS (SELECT file_id, max(deleted_count) AS deleted FROM changed_files GROUP BY file_id),
+    p AS (SELECT n.*, coalesce(pool, '') AS pool, coalesce(deleted, 0) AS deleted FROM n LEFT JOIN t USING (unit_id) LEFT JOIN f USING (file_id)),
+    o AS ({' UNION ALL '.join(_unit_rule_sql(r) for r in rules.WIDE_PACK if r.trigger != 'regex')})
+"""
+
+
+def _unit_rules(spark: SparkSession, d: str) -> DataFrame:
+    """(unit_id, rule_id, p, band): the rules of units without a pattern."""
+    deleted = table(spark, d, "changed_files").groupBy("file_id").agg(F.max("deleted_count").alias("deleted"))
+    units = rules.prepared(spread_table(spark, d, "review_units"), "unit_id", "file_id").join(deleted, "file_id", "left").withColumn("deleted", F.coalesce("deleted", F.lit(0)))
+    hits = rules.unit_triggers(units, "unit_id", rules=rules.WIDE_PACK).select("unit_id", "rule_id", "p").distinct()
+    return hits.withColumn("band", rules.rule_band(F.col("p"), F.col("rule_id"), rules.WIDE_PACK))
+
+
+@query("rule_removed", f"WITH {_UNIT_RULES} SELECT unit_id, rule_id, p, band FROM o WHERE rule_id LIKE 'removed.%'")
+def rule_removed(spark: SparkSession, d: str) -> DataFrame:
+    """Rules on units of files with deleted lines, with bands by their own thresholds."""
+    return _unit_rules(spark, d).where("rule_id LIKE 'removed.%'")
+
+
+@query("rule_always", f"WITH {_UNIT_RULES} SELECT unit_id, rule_id, p, band FROM o WHERE rule_id LIKE 'review.%'")
+def rule_always(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that always apply to units of enough added lines, with hints."""
+    return _unit_rules(spark, d).where("rule_id LIKE 'review.%'")
+
+
+_PRIORITIES = ", ".join(f"({_q(r.id)}, {float(r.urgency)})" for r in PACK + rules.WIDE_PACK)
+
+
+@query(
+    "topk_priority",
+    f"""
+    WITH {_UNIT_RULES}, m AS ({' UNION ALL '.join(_rule_sql(r) for r in PACK + rules.WIDE_PACK[1:2])}), a AS (SELECT DISTINCT unit_id, rule_id FROM m UNION SELECT unit_id, rule_id FROM o),
+    k AS (SELECT unit_id, rule_id, row_number() OVER w AS rank, greatest(count(*) OVER (PARTITION BY unit_id) - 2, 0) AS truncated FROM a JOIN (VALUES {_PRIORITIES}) y(rule_id, priority) USING (rule_id) WINDOW w AS (PARTITION BY unit_id ORDER BY priority DESC, rule_id))
+    SELECT unit_id, rule_id, rank::INT AS rank, truncated::BIGINT AS truncated FROM k WHERE rank <= 2
+    """,
+)
+def topk_priority(spark: SparkSession, d: str) -> DataFrame:
+    """The two most urgent rules of each unit by explicit priority, else severity."""
+    units = rules.prepared(spread_table(spark, d, "review_units"), "unit_id")
+    all_rules = PACK + rules.WIDE_PACK
+    hits = rules.rule_matches(rules.added_lines(units, "unit_id"), "unit_id", rules=all_rules).where(F.col("rule_id") != rules.WIDE_PACK[0].id)
+    return rules.urgent_rules(hits.select("unit_id", "rule_id").unionByName(_unit_rules(spark, d).select("unit_id", "rule_id")), "unit_id", all_rules, 2)
+
+
 @query("rule_counts", f"WITH {_MATCHES} SELECT rule_id, count(*) AS hits, count(DISTINCT unit_id) AS units, count(DISTINCT repo) AS repos FROM m GROUP BY ALL")
 def rule_counts(spark: SparkSession, d: str) -> DataFrame:
     """Hits, units and repositories per rule."""
@@ -153,19 +266,23 @@ def verdict(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "publish_plan",
     f"""
-    WITH {_FINDINGS}, f AS (SELECT sha1(rule_id || '|' || path || '|' || line_no::VARCHAR) AS fingerprint, min({{'path': path, 'line_no': line_no}}) AS a FROM g WHERE band = 'report' GROUP BY ALL),
-    kn AS (SELECT DISTINCT sha1(rule_id || '|' || path || '|' || line_no::VARCHAR) AS fingerprint FROM m WHERE hash_bucket < 2),
-    al AS (SELECT DISTINCT replace(path, chr(92), '/') AS path, unnest(added_line_numbers) AS line_no FROM review_units)
-    SELECT coalesce(f.fingerprint, kn.fingerprint) AS fingerprint, CASE WHEN f.fingerprint IS NULL THEN 'resolved' WHEN kn.fingerprint IS NOT NULL THEN 'duplicate' WHEN al.path IS NOT NULL THEN 'inline' ELSE 'folded' END AS action
-    FROM f FULL JOIN kn ON f.fingerprint = kn.fingerprint LEFT JOIN al ON al.path = f.a.path AND al.line_no = f.a.line_no
-    """.replace("FROM m WHERE hash_bucket < 2", "FROM m WHERE ascii(substr(sha1(path), 1, 1)) < 56"),
+    WITH {_FINDINGS}, f AS (SELECT coalesce(repo, '') AS repo, sha1(rule_id || '|' || path || '|' || line_no::VARCHAR) AS fingerprint, min({{'path': path, 'line_no': line_no}}) AS a FROM g WHERE band = 'report' GROUP BY ALL),
+    kn AS (SELECT DISTINCT coalesce(repo, '') AS repo, sha1(rule_id || '|' || path || '|' || line_no::VARCHAR) AS fingerprint FROM m WHERE ascii(substr(sha1(path), 1, 1)) < 56),
+    al AS (SELECT DISTINCT coalesce(repo, '') AS repo, replace(path, chr(92), '/') AS path, unnest(added_line_numbers) AS line_no FROM review_units)
+    SELECT coalesce(f.repo, kn.repo) AS repo, coalesce(f.fingerprint, kn.fingerprint) AS fingerprint, CASE WHEN f.fingerprint IS NULL THEN 'resolved' WHEN kn.fingerprint IS NOT NULL THEN 'duplicate' WHEN al.path IS NOT NULL THEN 'inline' ELSE 'folded' END AS action
+    FROM f FULL JOIN kn ON f.fingerprint = kn.fingerprint AND f.repo = kn.repo LEFT JOIN al ON al.repo = f.repo AND al.path = f.a.path AND al.line_no = f.a.line_no
+    """,
 )
 def publish_plan(spark: SparkSession, d: str) -> DataFrame:
-    """What to do with each finding, given what earlier runs (by path) have published."""
+    """What to do with each finding of a repository, given what earlier runs (by path) have published.
+
+    The hits are staged once and serve both the current findings and the published ones.
+    """
+    hits = staged(matches(spark, d), "hits")
     fp = S.fingerprint(F.col("rule_id"), F.col("path"), F.col("line_no").cast("string"))
-    known = matches(spark, d).where(F.ascii(F.substring(F.sha1("path"), 1, 1)) < 56).select(fp.alias("fingerprint"))
-    lines = table(spark, d, "review_units").select(S.slashed(F.col("path")).alias("path"), F.explode("added_line_numbers").alias("line_no"))
-    return alerts.publish_plan(found(spark, d).where("band = 'report'"), known, lines)
+    known = hits.where(F.ascii(F.substring(F.sha1("path"), 1, 1)) < 56).select("repo", fp.alias("fingerprint"))
+    lines = table(spark, d, "review_units").select("repo", S.slashed(F.col("path")).alias("path"), F.explode("added_line_numbers").alias("line_no"))
+    return alerts.publish_plan(rules.findings(hits, "repo", "path").where("band = 'report'"), known, lines)
 
 
 @query(

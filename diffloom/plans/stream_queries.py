@@ -18,7 +18,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_distinct", "SELECT DISTINCT feed, raw_line FROM static_alert_lines")
 def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Records of a feed once, although some are sent twice."""
-    return jobs.distinct_within(jobs.arriving(spark, f"{d}/static_alert_lines.parquet"), "received_at", "3650 days", "feed", "raw_line")
+    return jobs.distinct_within(jobs.arriving(spark, f"{d}/static_alert_lines.parquet"), "received_at", "30 days", "feed", "raw_line")
 
 
 @query("stream_budget", SQL["budget_admit"])

@@ -37,6 +37,18 @@ def level(severity):
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv)), severity), F.lit("note"))
 
 
+def finding_logs(found: DataFrame, *keys: str, tool: str = "diffloom", bands: tuple[str, ...] = ("report",)) -> DataFrame:
+    """(keys.., value): findings of the given bands as logs; uncertain ones are notes whatever their severity."""
+    rows = found.where(F.col("band").isin(*bands))
+    rows = rows.withColumns({"level": F.when(F.col("band") == "uncertain", "note").otherwise(level(F.col("severity"))), "tool": F.lit(tool), "line": F.col("line_no"), "message": F.col("rule_id"), "help_uri": F.lit(None).cast("string")})
+    return sarif_logs(rows, *keys)
+
+
+def record_answers(answers: DataFrame, folder: str) -> None:
+    """Append recorded answers as JSON lines, one file a task; ``reports.first_answers`` keeps the first of each key."""
+    answers.write.mode("append").json(folder)
+
+
 def canonical_json(df: DataFrame, *keys: str) -> DataFrame:
     """(keys.., json): the other columns of each row as JSON with keys in alphabetical order, nulls kept."""
     names = sorted(c for c in df.columns if c not in keys)
@@ -44,11 +56,17 @@ def canonical_json(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def markdown(found: DataFrame, key: str) -> DataFrame:
-    """(key, text): one Markdown summary per key, findings from critical to low."""
+    """(key, text): one Markdown summary per key: reported findings from critical to low with their counts, then uncertain ones."""
     line = F.concat(F.lit("- **"), F.col("severity"), F.lit("** `"), F.col("path"), F.lit(":"), F.col("line_no").cast("string"), F.lit("` "), F.col("rule_id"))
     row = F.struct((-severity_rank(F.col("severity"))).alias("s"), (-F.col("p_eff")).alias("p"), "path", "line_no", "rule_id", line.alias("line"))
-    per = found.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]).alias("l"))
-    return per.select(key, F.concat(F.lit("## "), F.col("n").cast("string"), F.lit(" findings\n\n"), F.array_join("l", "\n")).alias("text"))
+    of = lambda b: F.collect_list(F.when(F.col("band") == b, row))
+    counts = [F.count_if((F.col("band") == "report") & (F.col("severity") == s)).alias(s) for s in LEVELS]
+    per = found.where(F.col("band").isin("report", "uncertain")).groupBy(key).agg(of("report").alias("r"), of("uncertain").alias("u"), *counts)
+    lines = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["line"]), "\n")
+    some = [F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(f" {s}"))) for s in LEVELS]
+    head = F.concat(F.lit("## "), F.size("r").cast("string"), F.lit(" findings"), F.when(F.size("r") > 0, F.concat(F.lit(" ("), F.concat_ws(", ", *some), F.lit(")"))).otherwise(F.lit("")))
+    uncertain = F.when(F.size("u") > 0, F.concat(F.lit("\n\n### Uncertain\n\n"), lines("u"))).otherwise(F.lit(""))
+    return per.select(key, F.concat(head, F.lit("\n\n"), lines("r"), uncertain).alias("text"))
 
 
 def write_session_log(events: DataFrame, folder: str) -> None:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Files above this many bytes are left out of a folder scan.
 MAX_FILE_BYTES = 2_000_000
-#: Folders a scan leaves out.
-SKIPPED_FOLDERS = ("node_modules", "dist", "build", "target", "vendor", "coverage", ".git")
+# Folders a scan leaves out.
+SKIPPED_FOLDERS = ("node_modules", ".git", "dist", "build", "coverage", "target", "vendor")
 
 
 def source_lines(text: Column) -> Column:
@@ -25,11 +27,17 @@ def exploded_lines(df: DataFrame, text: str, *keep: str, start: Column | None =
 
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content): text files below ``folder``, all lines counting as added; binary and oversized files are left out."""
+    """(path, content): text files below ``folder``, all lines counting as added; binary and oversized files are left out.
+
+    Folders are skipped by their names below ``folder``, whatever lies above it.
+    """
     skipped = "|".join(x.replace(".", r"\.") for x in SKIPPED_FOLDERS)
+    root = re.sub(r"^\w+:/+", "/", folder).rstrip("/")
+    whole = F.regexp_replace("path", r"^\w+:/+", "/")
+    below = F.substring(whole, F.position(F.lit(f"{root}/"), whole) + len(root) + 1, F.length(whole))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    small = files.where((F.col("length") <= MAX_FILE_BYTES) & ~F.col("path").rlike(f"/(?:{skipped})/"))
-    return small.where(F.position(F.lit("00"), F.regexp_replace(F.hex("content"), "(..)", "$1 ")) == 0).select("path", F.decode("content", "UTF-8").alias("content"))
+    small = files.where((F.col("length") <= MAX_FILE_BYTES) & ~below.rlike(f"(?:^|/)(?:{skipped})/"))
+    return small.where(~F.contains("content", F.lit(b"\0"))).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
 def diff_lines(diffs: DataFrame, key: str, text: str) -> DataFrame:

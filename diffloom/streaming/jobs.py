@@ -31,17 +31,23 @@ def _finished(stream: DataFrame, mode: str, name: str) -> DataFrame:
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
     if mode == "append":
         job = writer.format("parquet").option("path", out).start()
-    else:  # each batch has the whole result or replaces the one before
-        job = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
+    else:  # a batch that is run again replaces what it has written
+        job = writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
     job.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    read = spark.read.schema(stream.schema) if mode == "append" else spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch bigint")
+    return read.parquet(out)
 
 
 def windowed_counts(events: DataFrame, at: str, width: str, delay: str, *keys: str) -> DataFrame:
-    """(keys.., window_start, n): events per window of event time; later than ``delay`` behind the newest is dropped."""
+    """(keys.., window_start, n): events per window of event time; later than ``delay`` behind the newest is dropped.
+
+    Each batch writes the windows it changes and forgets those that ended before the watermark, so state is bounded; the
+    last count of a window counts.
+    """
     timed = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", delay)
     per = timed.groupBy(*keys, F.window("_at", width).alias("_w")).agg(F.count(F.lit(1)).alias("n"))
-    return _finished(per.select(*keys, F.col("_w.start").cast("timestamp_ntz").alias("window_start"), "n"), "complete", "windows")
+    changed = _finished(per.select(*keys, F.col("_w.start").cast("timestamp_ntz").alias("window_start"), "n"), "update", "windows")
+    return changed.groupBy(*keys, "window_start").agg(F.max_by("n", "batch").alias("n"))
 
 
 def distinct_within(events: DataFrame, at: str, delay: str, *keys: str) -> DataFrame:
@@ -51,16 +57,18 @@ def distinct_within(events: DataFrame, at: str, delay: str, *keys: str) -> DataF
 
 
 def budgeted(events: DataFrame, key: str, order: str, cost: str, budget: int) -> DataFrame:
-    """(key, order, cost, admitted): greedy admission under a budget per key that lasts over all batches."""
+    """(key, order, cost, admitted): greedy admission under a budget per key that lasts over all batches.
+
+    Within a batch a key's rows are taken in order; the state is the sum spent, one number a key.
+    """
 
     def admit(_: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         spent = state.get[0] if state.exists else 0
-        for chunk in chunks:
-            chunk, ok = chunk.sort_values(order), []
-            for c in chunk[cost]:
-                ok.append(spent + c <= budget)
-                spent += c if ok[-1] else 0
-            yield chunk.assign(admitted=ok)
+        rows, ok = pd.concat(list(chunks)).sort_values(order), []
+        for c in rows[cost]:
+            ok.append(spent + c <= budget)
+            spent += c if ok[-1] else 0
+        yield rows.assign(admitted=ok)
         state.update((int(spent),))
 
     rows = events.select(key, order, cost)

@@ -75,6 +75,12 @@ def test_a_value_that_a_third_of_all_records_share(spark):
     assert bad_records(lines, feeds).count() == 200
 
 
+def test_frequent_valid_values_and_kept_columns(spark):
+    lines, feeds = tables(spark, [("c", f"a.py,{'7' if i % 3 else 'x' if i % 2 else i + 1},r,warning", "") for i in range(600)])
+    got = load_alerts(lines.withColumn("repo", lines.raw_id % 5), feeds, keep=("repo",)).toPandas()
+    assert len(got) == 500 and (got[got.raw_id % 3 > 0].line == 7).all() and (got.repo == got.raw_id % 5).all() and not got.line.isna().any()
+
+
 def brute(record: str, delimiter: str):
     """Fields of a record, or None: a scanner, to compare the patterns with."""
     out, i = [], 0

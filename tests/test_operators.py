@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from diffloom.functions import scalars as S
+from diffloom.functions import hunks, scalars as S
 from diffloom.operators import admission, alerts, evals, gate, risk, rules, units
 from diffloom.sources import reports, sinks, text
 from diffloom.streaming import jobs
@@ -116,6 +116,14 @@ def test_folder_scan(spark, tmp_path):
     assert [(r["path"].rsplit("/", 1)[1], r["content"]) for r in got] == [("a.py", "x\n")]
 
 
+def test_folder_scan_below_a_skipped_name(spark, tmp_path):
+    root = tmp_path / "build" / "proj"
+    (root / "dist").mkdir(parents=True)
+    (root / "a.py").write_text("x\n")
+    (root / "dist" / "b.py").write_text("y\n")
+    assert [r["content"] for r in text.scan_folder(spark, str(root)).collect()] == ["x\n"]
+
+
 def fold_spans(n, limit, overlap):
     out, first = [], 1
     while n:
@@ -198,9 +206,55 @@ def test_rules(spark):
     assert rules.lint() == []
     bad = (rules.Rule("x", "(", "c", "none"), rules.Rule("a.b", "x", "c", "low"), rules.Rule("a.b", "x", "c", "low"))
     assert {i for _, i in rules.lint(bad)} >= {"duplicate id", "bad id", "unknown severity"}
-    df = spark.createDataFrame([(1, "python", "a.py", 1, "x = open(p)"), (1, "python", "a.py", 2, "with open(p) as f:"), (1, None, None, 3, None)], "unit_id int, language_id string, path string, line_no int, line string")
-    got = {(r["line_no"], r["rule_id"]): r["p_eff"] for r in rules.rule_matches(df, "unit_id", "path").collect()}
-    assert got == {(1, "io.unclosed"): 0.855, (2, "io.unclosed"): 0.09}
+    df = spark.createDataFrame([(1, "python", "a.py", ["x = open(p)", "with open(p) as f:", None, "y = open(q)"], [1, 2, 3, 3, 99, None])], UNIT)
+    got = {(r["line_no"], r["rule_id"]): r["p_eff"] for r in rules.rule_matches(added(df), "unit_id", "path").collect()}
+    assert got == {(1, "io.unclosed"): 0.855, (2, "io.unclosed"): 0.09}  # line 4 isn't added
+
+
+UNIT = "unit_id int, language_id string, path string, source_lines array<string>, added_line_numbers array<int>"
+
+
+def prepared(df, **more):
+    return rules.prepared(df.withColumn("frameworks", F.array(F.lit("gin"))).withColumn("start_line", F.lit(1)), "unit_id", **more)
+
+
+def added(df, **more):
+    return rules.added_lines(prepared(df, **more), "unit_id")
+
+
+def test_markers_turn_rules_off(spark):
+    lines = ["# review-ignore io.unclosed", "a = open(p)", "b = open(p)", "c = eval(x) # review-ignore", "d = eval(x)", "e = eval(x)"]
+    df = spark.createDataFrame([(1, "python", "a.py", lines, [2, 3, 4, 5, 6])], UNIT)
+    assert {(r["line_no"], r["rule_id"]) for r in rules.rule_matches(added(df), "unit_id").collect()} == {(3, "io.unclosed"), (6, "exec.dynamic-code")}
+    assert {r["line_no"] for r in rules.rule_matches(added(df), "unit_id", marked=True).collect()} == {2, 4, 5}
+
+
+def test_patterns_over_line_ends(spark):
+    pack = (rules.Rule("a.b", r"try \{\s*\}", "c", "low"), rules.Rule("a.c", r"x\s*=\s*1", "c", "low", frameworks=("vue",)))
+    df = spark.createDataFrame([(1, "go", "a", ["f()", "try {", "", "}", "x", "= 1"], [1, 2, 3, 4, 5, 6]), (2, "go", "a", ["try {", "}"], [1]), (3, "go", "a", ["try {}", "try {", "}"], [1, 2, 3]), (4, "go", "a", None, None)], UNIT)
+    assert [(r["unit_id"], r["line_no"], r["rule_id"]) for r in rules.pool_matches(prepared(df), "unit_id", rules=pack).collect()] == [(1, 2, "a.b")]
+    assert rules.pool_matches(prepared(df), "unit_id", rules=(rules.Rule("a.b", "x", "c", "low"),)).count() == 0
+
+
+def test_rules_without_a_pattern(spark):
+    pack = (rules.Rule("z.always", "", "c", "low", trigger="always", min_added=2, anti="none", hint="TODO"), rules.Rule("z.removed", "", "c", "low", trigger="removed", thresholds=(0.95, 0.5)))
+    df = spark.createDataFrame([(1, "go", "a", ["x", "y"], [1, 2]), (2, "go", "a", ["x", "TODO"], [1, 2]), (3, "go", "a", ["TODO none", "y"], [1, 2]), (4, "go", "a", ["x"], [1]), (5, "go", "a", ["review-ignore z.always", "y"], [1, 2])], UNIT)
+    u = prepared(df).withColumn("deleted", F.col("unit_id") - 3)
+    got = {(r["unit_id"], r["rule_id"]): (r["p"], r["b"]) for r in rules.unit_triggers(u, "unit_id", rules=pack).withColumn("b", rules.rule_band(F.col("p"), F.col("rule_id"), pack)).collect()}
+    assert got == {(1, "z.always"): (0.2, "drop"), (2, "z.always"): (0.9, "report"), (3, "z.always"): (0.1, "drop"), (4, "z.removed"): (0.9, "uncertain"), (5, "z.removed"): (0.9, "uncertain")}
+
+
+def test_priorities_and_packs(spark):
+    entries = [
+        {"id": "a.one", "trigger": {"kind": "regex", "pattern": "x", "flags": "i"}, "severity": {"map": ["low", "high"]}, "applies": {"languages": ["go"], "minAddedLines": 3}, "thresholds": {"report": 0.9, "uncertain": 0.4}},
+        {"id": "a.two", "trigger": {"kind": "always"}, "severity": {"max": "critical", "default": "low"}, "priority": 0.5}, {"id": "a.old", "trigger": {"pattern": "x"}, "deprecated": True},
+    ]
+    pack = rules.read_pack(entries)
+    assert [(r.id, r.pattern, r.severity, r.urgency, r.min_added, r.thresholds) for r in pack] == [("a.one", "(?i)x", "high", 2, 3, (0.9, 0.4)), ("a.two", "", "critical", 0.5, 0, None)]
+    with pytest.raises(ValueError):
+        rules.read_pack([{"id": "a.b", "trigger": {"kind": "query"}}])
+    hits = spark.createDataFrame([(1, "a.two"), (1, "a.one"), (1, "a.one")], "unit_id int, rule_id string")
+    assert [(r["rule_id"], r["rank"], r["truncated"]) for r in rules.urgent_rules(hits, "unit_id", pack, 1).collect()] == [("a.one", 1, 1)]
 
 
 def test_findings_keep_the_best(spark):
@@ -222,10 +276,20 @@ def test_alert_units(spark):
 
 
 def test_publish_plan(spark):
-    cur = spark.createDataFrame([("f1", "p", 1), ("f2", "p", 2), ("f3", "p", 9)], "fingerprint string, path string, line_no int")
-    known = spark.createDataFrame([("f2",), ("f4",), ("f4",)], "fingerprint string")
-    lines = spark.createDataFrame([("p", 1), ("p", 2)], "path string, line_no int")
-    assert {r["fingerprint"]: r["action"] for r in alerts.publish_plan(cur, known, lines).collect()} == {"f1": "inline", "f2": "duplicate", "f3": "folded", "f4": "resolved"}
+    cur = spark.createDataFrame([("r", "f1", "p", 1), ("r", "f2", "p", 2), ("r", "f3", "p", 9), ("s", "f1", "p", 1), (None, "f2", "p", 2)], "repo string, fingerprint string, path string, line_no int")
+    known = spark.createDataFrame([("r", "f2"), ("r", "f4"), ("r", "f4")], "repo string, fingerprint string")
+    lines = spark.createDataFrame([("r", "p", 1), ("r", "p", 2), (None, "p", 2)], "repo string, path string, line_no int")
+    got = {(r["repo"], r["fingerprint"]): r["action"] for r in alerts.publish_plan(cur, known, lines).collect()}
+    assert got == {("r", "f1"): "inline", ("r", "f2"): "duplicate", ("r", "f3"): "folded", ("r", "f4"): "resolved", ("s", "f1"): "folded", ("", "f2"): "inline"}
+
+
+def test_drift_of_last_rows_and_one_model(spark):
+    b = spark.createDataFrame([("a", "m", "report"), ("b", "m", "drop"), ("c", "m", "drop")], "rule_id string, model string, band string")
+    a = spark.createDataFrame([("a", "m", "drop", 1), ("a", "m", "report", 2), ("b", "m", "report", 1)], "rule_id string, model string, band string, at int")
+    assert tuple(alerts.band_drift(b, a, "rule_id", order="at", model="model").first()) == (2, 1, 0.5, False)
+    other = a.withColumn("model", F.lit("n"))
+    assert tuple(alerts.band_drift(b, other, "rule_id", order="at", model="model").first()) == (0, 0, 1.0, False)
+    assert tuple(alerts.band_drift(b, a.limit(0), "rule_id", order="at").first()) == (0, 0, 0.0, True)
 
 
 def test_metrics_literals(spark):
@@ -273,10 +337,112 @@ def test_admission(spark):
             assert batches[k, i] == b
 
 
+def test_rates_against_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice("aab"), rnd.randrange(0, 400)) for _ in range(300)]
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "id int, k string, s long").withColumn("at", F.timestamp_seconds("s"))
+    got = {r["id"]: r["recent"] for r in admission.rates(df, "at", 60, "k").collect()}
+    assert got == {i: sum(k == k2 and t - 60 <= t2 <= t for k2, t2 in rows) for i, (k, t) in enumerate(rows)}
+    assert admission.rates(df.limit(0), "at", 60, "k").count() == 0
+
+
+def test_token_bucket(spark):
+    df = spark.createDataFrame([("a", 0.0, 9), ("a", 0.1, 1), ("a", 0.2, 1), ("a", 1.0, 99), ("a", 1.5, 1), ("b", 0.3, 5)], "k string, s double, t long").withColumn("at", F.expr("timestamp_micros(cast(s * 1000000 as bigint))"))
+    assert {(r["k"], r["s"]): r["admitted"] for r in admission.token_bucket(df, "at", "t", 10, "k").collect()} == {("a", 0.0): True, ("a", 0.1): True, ("a", 0.2): False, ("a", 1.0): True, ("a", 1.5): False, ("b", 0.3): True}
+
+
+def test_a_key_with_a_third_of_all_rows(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("i"), F.lit(1).cast("long").alias("c"))
+    assert admission.admitted(df, "k", ["i"], "c", 10).where("k = 0 AND admitted").count() == 10
+
+
+def test_merging_within_scopes(spark):
+    rows = [(1, 1, 2, 2, 10), (1, 4, 5, 2, 10), (1, 7, 8, 2, None), (1, 9, 9, 1, None), (1, 11, 12, 2, 30)]
+    df = spark.createDataFrame(rows, "file_id int, run_start int, run_end int, added int, scope_line int")
+    assert [(r["start_line"], r["end_line"], r["added"]) for r in units.merged_units(df, scope="scope_line").orderBy("start_line").collect()] == [(1, 5, 4), (7, 9, 3), (11, 12, 2)]
+
+
+def test_assignments_are_redacted(spark):
+    pattern = re.compile(r"""\b(password|passwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)\b(\s*[:=]\s*)(['"])([^'"]{8,})\3""", re.I)
+    stand_in = re.compile(rf"^(?:{S.STAND_INS})$", re.I)
+    lines = ['password = "hunter2hunter2"', "token: 'abcdefgh'", 'secret="changeme"', 'api_key = "your-key-goes-here"', "api-key='Example value 1'", 'token = "short"', 'x.password = "a1b2c3d4e5" + token = \'zzzzzzzz\'', 'password = "[REDACTED:aws-key]"', "mypassword = 'abcdefghij'", "", 'SECRET = "xxxxxxxxx"', 'token="a\'bcdefghi"']
+    def brute(t):
+        return pattern.sub(lambda m: m[0] if "[REDACTED:" in m[4] or stand_in.match(m[4]) or "example" in m[4].lower() else f"{m[1]}{m[2]}{m[3]}[REDACTED:secret]{m[3]}", t)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string")
+    got = {r["i"]: r["y"] for r in df.select("i", S.redact_assignments(F.col("x")).alias("y")).collect()}
+    assert got == {i: brute(x) for i, x in enumerate(lines)}
+
+
+def test_hunks(spark):
+    rows = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).cast("int").alias("no"), F.lit(t).alias("text")) for k, n, t in [("added", 3, "a + b"), ("context", 4, ""), ("deleted", 1, " x"), ("added", None, "y")]))
+    t = one(spark, hunks.hunk_text(rows, F.lit("@@")))
+    assert t == "@@\nL3 + a + b\nL4   \nD1 -  x"
+    assert [tuple(x) for x in one(spark, hunks.hunk_lines(F.lit(t)))] == [("added", 3, "a + b"), ("deleted", 1, " x")]
+    at = lambda anchors, chosen, sure: tuple(one(spark, hunks.location(F.lit(anchors) if anchors else F.array().cast("array<int>"), F.lit([5, 7]), F.lit(0), F.lit(chosen), F.lit(sure))))
+    assert at([3, 4], "L4", 0.5) == (4, "trigger", False) and at([3, 4], "L9", 0.9) == (3, "trigger", False) and at([], "L7", 0.6) == (7, "choice", False)
+    assert at([], "L7", 0.4) == (5, "unit", True) and at([], "none", 0.9) == (5, "unit", True)
+
+
+def test_severities_of_scores(spark):
+    assert [one(spark, S.scored_severity(F.lit(s), F.lit(c))) for s, c in [(0.4, 0.9), (2.5, 0.9), (9.0, 0.4), (3.0, 0.1)]] == ["low", "critical", "critical", "medium"]
+    assert [one(spark, S.alert_severity(F.lit(s).cast("double"), F.lit(x))) for s, x in [(2.0, "note"), (0.0, "error"), (1.0, "error"), (None, "error"), (None, "none"), (None, None)]] == ["high", "low", "medium", "high", "low", "medium"]
+    assert one(spark, S.fused(F.lit(0.5), F.array().cast("array<struct<p:double>>"), -1, 2, -3)) == 0.5
+
+
+def test_fences_and_cuts(spark):
+    assert [one(spark, S.fenced_json(F.lit(t), "k int"))["k"] if t != "{" else one(spark, S.fenced_json(F.lit(t), "k int").getField("k")) for t in ['{"k": 1}', ' ```JSON\n{"k": 2}```', "{"]] == [1, 2, None]
+    assert one(spark, S.truncated(F.lit("abcdef"), 4)) == "abc…" and one(spark, S.escaped(F.lit("a.b(c)"))) == r"a\.b\(c\)"
+
+
+def test_evaluation_shapes(spark):
+    sets = ['{"name":"n","cases":[{"id":"1","path":"a.py","source":"x","labels":[{"ruleId":"r","positive":true},{"ruleId":"q"}]}]}', '{"name":"m","samples":[{"id":"2","project_main_language":"go","path":"b","hunk":"h","judge":{"ruleId":"r","positive":false}}]}', '[{"project_main_language":"rust","comments":[{"note":"a"},{"note":"b"}]}]', "no json", None]
+    got = reports.eval_cases(spark.createDataFrame([(x,) for x in sets], "value string")).orderBy("shape").collect()
+    assert [(r["shape"], r["case_id"], r["language"], [(x["rule_id"], x["positive"]) for x in r["labels"]]) for r in got] == [("cases", "1", None, [("r", True), ("q", False)]), ("projects", None, "rust", [(None, None)] * 2), ("samples", "2", "go", [("r", False)])]
+
+
+def test_answers_in_files(spark, tmp_path):
+    cache = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new")], "key string, stored_at int, answers string")
+    requests = spark.createDataFrame([("a",), ("b",)], "request_key string")
+    assert {r["request_key"]: r["answers"] for r in reports.looked_up(requests, cache).collect()} == {"a": "new", "b": None}
+    sinks.record_answers(cache, str(tmp_path / "taken"))
+    assert spark.read.json(str(tmp_path / "taken")).count() == 2
+    size = reports.cache_size(spark, str(tmp_path / "taken")).first()
+    assert size["files"] >= 1 and size["bytes"] > 0
+    models = spark.createDataFrame([("m-1.2.3",), ("m-latest",), (None,)], "m string")
+    assert [r["c"] for r in models.select(reports.cacheable(F.col("m")).alias("c")).collect()] == [True, False, False]
+
+
+def test_finding_logs_and_summaries(spark):
+    rows = [("r", "p", 1, "a.b", "high", 0.9, "report"), ("r", "p", 2, "a.c", "low", 0.8, "report"), ("r", "p", 3, "a.d", "critical", 0.6, "uncertain"), ("r", "p", 4, "a.e", "low", 0.1, "drop")]
+    df = spark.createDataFrame(rows, "repo string, path string, line_no int, rule_id string, severity string, p_eff double, band string")
+    back = reports.sarif_alerts(sinks.finding_logs(df, "repo", bands=("report", "uncertain")))
+    assert sorted((r["rule_id"], r["level"]) for r in back.collect()) == [("a.b", "error"), ("a.c", "note"), ("a.d", "note")]
+    assert sinks.markdown(df, "repo").first()["text"] == "## 2 findings (1 high, 1 low)\n\n- **high** `p:1` a.b\n- **low** `p:2` a.c\n\n### Uncertain\n\n- **critical** `p:3` a.d"
+
+
+def test_windows_drop_late_rows(spark, tmp_path):
+    path = str(tmp_path / "w")
+    for i, rows in enumerate([[(0, "a"), (10, "a"), (9000, "a")], [(20, "a"), (9100, "a")], [(9200, "a"), (30, "b")]]):
+        spark.createDataFrame(rows, "s long, k string").select(F.timestamp_seconds("s").alias("ts"), "k").coalesce(1).write.mode("append").parquet(path)
+    arriving = spark.readStream.schema("ts timestamp, k string").option("maxFilesPerTrigger", 1).parquet(path)
+    got = {(r["k"], r["s"]): r["n"] for r in jobs.windowed_counts(arriving, "ts", "1 hour", "10 minutes", "k").select("k", F.unix_timestamp(F.col("window_start").cast("timestamp")).alias("s"), "n").collect()}
+    assert got[("a", 7200)] == 3 and ("b", 0) not in got  # the watermark of the first file holds for the third
+
+
+def test_staged_tables_are_released(spark):
+    import os
+
+    from diffloom.session import release, shared_dir, staged
+
+    path = staged(spark.range(3), "kept").inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and path.startswith(shared_dir(spark))
+    assert release(spark) > 0 and not os.path.exists(path)
+
+
 def test_cache_split(spark):
-    r = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "request_key string")
+    r = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "request_key string, id int")
     c = spark.createDataFrame([("a",), ("a",)], "request_key string")
-    assert sorted((str(x["request_key"]), x["hit"]) for x in alerts.cache_split(r, c).collect()) == [("None", False), ("a", True), ("a", True), ("b", False)]
+    assert sorted((str(x["request_key"]), x["hit"]) for x in alerts.cache_split(r, c, "id").collect()) == [("None", False), ("a", True), ("a", True), ("b", False)]
 
 
 def test_sarif_round_trip(spark):
