@@ -55,6 +55,16 @@ def calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg(round_to(_ratio(F.sum(F.col("n") * F.abs(F.col("rate") - F.col("mean_p"))), F.sum("n"))).alias("ece"))
 
 
+def summary(scored: DataFrame, threshold: float) -> tuple[float, float]:
+    """(F1, calibration error) of scores against labels: two numbers, whatever the size; (0, 0) without rows."""
+    return scored.agg(*confusion(F.lit(threshold))).first()["f1"], calibration_error(reliability(scored)).first()["ece"]
+
+
+def adopted(old: tuple[float, float], new: tuple[float, float]) -> bool:
+    """Whether the new (F1, calibration error) is to be adopted: F1 not lower and the error strictly lower."""
+    return new[0] + 1e-9 >= old[0] and new[1] < old[1]
+
+
 def threshold_grid(scored: DataFrame, low: int = 50, high: int = 95, step: int = 5) -> DataFrame:
     """(threshold, confusion..): every threshold of the grid over all rows.
 

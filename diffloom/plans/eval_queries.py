@@ -141,13 +141,11 @@ def logistic_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fusion_study")
 def fusion_study(spark: SparkSession, d: str) -> DataFrame:
-    """The product rule against the fitted one, by F1 and calibration error."""
+    """The product rule against the fitted one, by F1 and calibration error, and whether to adopt the fitted one."""
     rows = staged(_fusion_rows(spark, d), "fusion")
     w = evals.logistic_fit(rows, "main", "guard", "positive")
     product = rows.withColumn("p_eff", S.round_to(F.col("main") * (1 - F.col("guard"))))
     fitted = rows.withColumn("p_eff", S.round_to(S.sigmoid(F.lit(w[0]) + F.lit(w[1]) * F.col("main") + F.lit(w[2]) * F.col("guard"))))
-    out = None
-    for name, scores in (("product", product), ("fitted", fitted)):
-        one = scores.agg(*evals.confusion(F.lit(0.5))).select(F.lit(name).alias("method"), "f1").join(F.broadcast(evals.calibration_error(evals.reliability(scores))))
-        out = one if out is None else out.unionByName(one)
-    return out
+    (f, e), (g, h) = (evals.summary(x, 0.5) for x in (product, fitted))
+    adopt = evals.adopted((f, e), (g, h))
+    return spark.createDataFrame([("product", f, e, False), ("fitted", g, h, adopt)], "method string, f1 double, ece double, adopt boolean")

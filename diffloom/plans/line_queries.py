@@ -170,7 +170,16 @@ def unit_merge(spark: SparkSession, d: str) -> DataFrame:
     return units.merged_units(units.added_runs(table(spark, d, "changed_files")))
 
 
-@query("unit_scope")
+@query(
+    "unit_scope",
+    rf"""
+    WITH {_UNIT_LINES}, k AS (SELECT l.*, line_no - start_line + 1 AS i, length(regexp_extract(line, '^(\s*)', 1)) AS w FROM l JOIN (SELECT DISTINCT unit_id, start_line FROM u) s USING (unit_id) WHERE trim(coalesce(line, '')) <> ''),
+    o AS (SELECT unit_id, max(i) AS last, arg_max(w, i) AS wide FROM k GROUP BY unit_id),
+    h AS (SELECT k.unit_id, max(i) AS scope_line FROM k JOIN o USING (unit_id) WHERE i < last AND i >= last - {units.SCOPE_REACH} AND w < wide
+        AND CASE language_id {" ".join(f"WHEN '{k}' THEN regexp_matches(line, '{v}')" for k, v in units.SIGNATURES.items())} ELSE regexp_matches(line, '{units.BRACED}') END GROUP BY k.unit_id)
+    SELECT DISTINCT review_units.unit_id, scope_line::INT AS scope_line FROM review_units LEFT JOIN h USING (unit_id)
+    """,
+)
 def unit_scope(spark: SparkSession, d: str) -> DataFrame:
     """The line that encloses each unit's last line."""
     return units.with_scope(table(spark, d, "review_units").dropDuplicates(["unit_id"])).select("unit_id", "scope_line")

@@ -370,14 +370,25 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     return found(spark, d).select("repo", "path", "line_no", "category", S.rendered(t, values).alias("message"))
 
 
-@query("report_markdown")
+@query(
+    "report_markdown",
+    f"""
+    WITH {_FINDINGS}, r AS (SELECT *, concat_ws(':', repo, path) AS file, '- **' || severity || '** `' || path || ':' || line_no::VARCHAR || '` ' || rule_id AS row FROM g WHERE band IN ('report', 'uncertain')),
+    s AS (SELECT file, count(*) FILTER (band = 'report') AS n, {', '.join(f"count(*) FILTER (band = 'report' AND severity = '{x}') AS {x}" for x in reversed(S.SEVERITIES))},
+        coalesce(string_agg(row, chr(10) ORDER BY sev DESC, p_eff DESC, path, line_no, rule_id, row) FILTER (band = 'report'), '') AS rl, string_agg(row, chr(10) ORDER BY sev DESC, p_eff DESC, path, line_no, rule_id, row) FILTER (band = 'uncertain') AS ul FROM r GROUP BY file)
+    SELECT file, '## ' || n::VARCHAR || ' findings' || CASE WHEN n > 0 THEN ' (' || concat_ws(', ', {', '.join(f"CASE WHEN {x} > 0 THEN {x}::VARCHAR || ' {x}' END" for x in reversed(S.SEVERITIES))}) || ')' ELSE '' END || chr(10) || chr(10) || rl || CASE WHEN ul IS NOT NULL THEN chr(10) || chr(10) || '### Uncertain' || chr(10) || chr(10) || ul ELSE '' END AS text FROM s
+    """,
+)
 def report_markdown(spark: SparkSession, d: str) -> DataFrame:
-    """K3: a Markdown summary of the reported findings of each file."""
-    f = found(spark, d).where("band = 'report'").withColumn("file", F.concat_ws(":", "repo", "path"))
+    """K3: a Markdown summary of the findings of each file, reported ones first."""
+    f = found(spark, d).withColumn("file", F.concat_ws(":", "repo", "path"))
     return sinks.markdown(f, "file")
 
 
-@query("report_json")
+@query(
+    "report_json",
+    f"WITH {_FINDINGS} SELECT sha1(rule_id || '|' || path || '|' || line_no::VARCHAR) AS fingerprint, repo, category, json_object('band', band, 'line_no', line_no, 'p_eff', p_eff, 'path', path, 'related', related, 'rule_id', rule_id, 'severity', severity)::VARCHAR AS json FROM g",
+)
 def report_json(spark: SparkSession, d: str) -> DataFrame:
     """K1: findings as canonical JSON."""
     return sinks.canonical_json(found(spark, d), "fingerprint", "repo", "category")
