@@ -29,7 +29,7 @@ _BLOCK = r"/\*[\s\S]*?\*/"
 
 
 def _lexer(comment: str, string: str, word: str = _WORD, op: str = r"[^\w\s]") -> re.Pattern:
-    return re.compile(rf"[^\S\n]*(?:(?P<word>{word})|(?P<comment>{comment})|(?P<space>\n\s*)|(?P<str>{string})|(?P<num>{_NUMBER})|(?P<open>[(\[{{])|(?P<close>[)\]}}])|(?P<op>{op})|(?P<end>\Z))")
+    return re.compile(rf"[^\S\n]*(?:(?P<word>{word})|(?P<comment>{comment})|(?P<space>\n\s*)|(?P<str>{string})|(?P<num>{_NUMBER})|(?P<open>[(\[{{])|(?P<close>[)\]}}])|(?P<op>{op})|(?P<end>\Z)|(?P<stray>[\s\S]))")
 
 
 _OPS = r"[-+*/%&|^!~<>?:=.,;@#$`\\]"
@@ -168,58 +168,58 @@ def _tokens(text: str, language: str) -> list[tuple]:
         if stack and stack[-1][0] in _LITERAL:
             i = _literal(text, i, stack, out)
             continue
-        stray = True  # unless a token is found, or one that changes how to go on
+        depth, macro = len(stack), rust and bool(stack) and stack[-1][2]
         for m in lexer.finditer(text, i):
-            if stray := m.start() != i:
-                break
             kind = m.lastgroup
-            at, i = m.start(kind), m.end()
-            if markers and at in markers and kind not in ("comment", "space"):
-                raise _Broken("merge-conflict marker", at)
-            if kind == "space" or kind == "end":
+            if kind == "space":
                 continue
-            tok = m.group(kind)
+            at, tok = m.start(kind), m.group(kind)
+            if markers and at in markers and kind != "comment":
+                raise _Broken("merge-conflict marker", at)
             if kind == "word" or kind == "num" or kind == "str":
-                add((kind, tok, at, len(stack), rust and bool(stack) and stack[-1][2]))
-            elif kind == "comment":
-                if cs and tok[0] == "#":
-                    word = _DIRECTIVE.match(tok).group(1)
-                    if word == "if":
-                        branches.append(list(stack))
-                    elif word in ("else", "elif") and branches:
-                        stack[:] = branches[-1]
-                    elif word == "endif" and branches:
-                        branches.pop()
+                add((kind, tok, at, depth, macro))
             elif kind == "open":
                 before = out[-1][1] if out else ""
-                flag = rust and (bool(stack) and stack[-1][2] or before == "!" or len(out) > 1 and out[-2][1] == "!") or js and tok == "(" and before in ("if", "for", "while", "with")
-                add((kind, tok, at, len(stack), False))
-                stack.append((tok, at, flag))
+                macro = rust and (macro or before == "!" or len(out) > 1 and out[-2][1] == "!")
+                add((kind, tok, at, depth, False))
+                stack.append((tok, at, macro or js and tok == "(" and before in ("if", "for", "while", "with")))
+                depth += 1
             elif kind == "close":
                 top = stack[-1] if stack else ("", at, False)
                 if tok == "}" and top[0] == "${":
                     stack.pop()
                     if stack[-1][0] in _LITERAL:
+                        i = m.end()
                         break
+                    depth -= 1
                 elif _CLOSER.get(top[0]) != tok:
                     raise _Broken("unbalanced delimiter", at)
                 else:
                     stack.pop()
-                    add((kind, tok, at, len(stack), top[2]))
-            elif rust and text.startswith("/*", at):  # block comments nest
-                depth = 0
-                for c in _NESTED_COMMENT.finditer(text, at):
-                    depth += 1 if c.group() == "/*" else -1
-                    if not depth:
-                        i = c.end()
-                        break
-                if depth:
+                    depth -= 1
+                    macro = rust and bool(stack) and stack[-1][2]
+                    add((kind, tok, at, depth, top[2]))
+            elif kind == "comment":
+                if cs and tok[0] == "#":
+                    word = _DIRECTIVE.match(tok).group(1)
+                    if word == "if":
+                        branches.append(list(stack))
+                    elif word in ("else", "elif") and branches:
+                        stack[:] = branches[-1]
+                    elif word == "endif" and branches:
+                        branches.pop()
+                    depth = len(stack)
+            elif kind == "stray" or kind == "end":
+                if kind == "stray":
+                    raise _Broken("unterminated literal" if tok in "\"'" else "character that belongs to no token", at)
+            elif tok == "/" and text.startswith("/*", at):
+                i = _after_comment(text, at) if rust else -1  # block comments nest in Rust
+                if i < 0:
                     raise _Broken("unterminated literal", at)
                 break
-            elif tok == "/" and text.startswith("/*", at):
-                raise _Broken("unterminated literal", at)
             elif js and tok == "`":
                 stack.append(("`", at, False))
+                i = at + 1
                 break
             elif cs and tok in "$@" and (s := _INTERPOLATED.match(text, at)):
                 stack.append(('$"""' if s.group(1) else '$@"' if "@" in s.group() else '$"', at, False))
@@ -234,21 +234,28 @@ def _tokens(text: str, language: str) -> list[tuple]:
                 if tok == "<":
                     stack.append(("<text" if r.group() == "<>" else "<tag", at, False))
                 else:
-                    add(("str", r.group(), at, len(stack), False))
+                    add(("str", r.group(), at, depth, False))
                 i = r.end()
                 break
             else:
-                add((kind, tok, at, len(stack), False))
+                add((kind, tok, at, depth, False))
         else:
-            stray = i < n
-        if stray:
-            i += len(text[i:]) - len(text[i:].lstrip())
-            raise _Broken("unterminated literal" if text[i : i + 1] in ('"', "'") or text.startswith("/*", i) else "character that belongs to no token", min(i, n - 1))
+            i = n
     if stack:
         raise _Broken("unterminated literal" if stack[-1][0] not in "([{" else "delimiter left open", stack[-1][1])
     return out
 
 
+def _after_comment(text: str, at: int) -> int:
+    """The place after the nested block comment that begins at ``at``, or -1."""
+    depth = 0
+    for c in _NESTED_COMMENT.finditer(text, at):
+        depth += 1 if c.group() == "/*" else -1
+        if not depth:
+            return c.end()
+    return -1
+
+
 def _operand(text: str, at: int, tok: str, out: list) -> re.Match | None:
     """The regular expression or the tag that begins at a slash or an angle bracket, where an operand is due; else None."""
     p = out[-1] if out else ("", "", 0, 0, False)
@@ -404,6 +411,8 @@ _DECLARE = re.compile(r"\A(?:﻿)?\s*(?:<!DOCTYPE|<html|<\?xml|diff --git |versi
 
 # Words of Python that begin a block, and those that may stand beside an operand.
 _PY_BLOCK = set("def class if elif else for while try except finally with async match case".split())
+_PY_HEADS = _PY_BLOCK - {"match", "case", "async"}
+_OPERANDS = ("word", "num", "str")
 _PY_JOIN = set("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type".split())
 # Words that end no line, and for words that go on a statement, those of the block before.
 _PY_UNFINISHED = set("await and or not in is import lambda del async from assert".split())
@@ -414,15 +423,19 @@ _PY_MORE = set("= + - * / % & | ^ ~ < > . , @ := -> ** // !".split()) - {","}
 def _laid_out(toks: list[tuple], text: str) -> None:
     """Raise where a line of Python is misplaced: open indents are the stack."""
     lines: list[list[tuple]] = []
-    end, joined = 0, False
+    end, joined, line, was = 0, False, None, ("", "")
     for t in toks:
-        if t[1] == "\\" and t[0] == "op":
-            joined, end = True, t[2] + 1
+        kind, tok, at, depth, _ = t
+        if kind == "op" and tok == "\\":
+            joined, end = True, at + 1
             continue
-        if not lines or t[3] == 0 and t[0] != "close" and not joined and text.find("\n", end, t[2]) >= 0:
-            lines.append([])
-        lines[-1].append(t)
-        joined, end = False, t[2] + len(t[1])
+        if line is None or depth == 0 and kind != "close" and not joined and text.find("\n", end, at) >= 0:
+            line = []
+            lines.append(line)
+        elif kind in _OPERANDS and was[0] in _OPERANDS and not (kind == was[0] == "str") and tok not in _PY_JOIN and was[1] not in _PY_JOIN:
+            raise _Broken("operands side by side", at)
+        line.append(t)
+        joined, end, was = False, at + len(tok), t
     indents, opened, heads = [""], False, [""]  # heads: the block that each level has just had
     for line in lines:
         first, last = line[0], line[-1]
@@ -446,7 +459,7 @@ def _laid_out(toks: list[tuple], text: str) -> None:
                 raise _Broken("block without its end" if heads[-1] == "try" else "block without its head", first[2])
             heads[-1] = (line[1][1] if first[1] == "async" and len(line) > 1 else first[1]) if last[1] == ":" or first[1] in _PY_BLOCK else ""
         opened = last[1] == ":" and last[3] == 0
-        if first[0] == "word" and first[1] in _PY_BLOCK - {"match", "case", "async"} and not any(t[1] == ":" and t[3] == 0 for t in line):
+        if first[0] == "word" and first[1] in _PY_HEADS and not any(t[1] == ":" and t[3] == 0 for t in line):
             raise _Broken("head of a block without colon", first[2])
         if last[0] == "word" and last[1] in _PY_UNFINISHED and last[3] == 0:
             raise _Broken("premature end", last[2])
@@ -454,9 +467,6 @@ def _laid_out(toks: list[tuple], text: str) -> None:
             raise _Broken("premature end", last[2])
         if first[0] == "op" and first[1] not in ("@", "-", "+", "~", "*", "..."):
             raise _Broken("line that begins with an operator", first[2])
-        for (ka, a, *_), (kb, b, at, *_) in zip(line, line[1:]):
-            if ka in ("word", "num", "str") and kb in ("word", "num", "str") and not (ka == kb == "str") and a not in _PY_JOIN and b not in _PY_JOIN:
-                raise _Broken("operands side by side", at)
     if opened or "try" in heads:
         raise _Broken("premature end", len(text) - 1)
 
@@ -494,8 +504,8 @@ def _json(text: str) -> None:
             due, i = "value", i + 1
         else:
             m = _LEXERS["json"].match(text, i) if c in '"tfn' else _JSON_NUMBER.match(text, i)
-            if not m or due.startswith("key") and c != '"' or m.lastgroup == "word" and m.group("word") not in ("true", "false", "null"):
-                raise _Broken("unterminated literal" if c == '"' and not m else "not a value", i)
+            if not m or m.lastgroup == "stray" or due.startswith("key") and c != '"' or m.lastgroup == "word" and m.group("word") not in ("true", "false", "null"):
+                raise _Broken("unterminated literal" if c == '"' and m.lastgroup == "stray" else "not a value", i)
             if due.startswith("key"):
                 due = ":"
             else:
