@@ -15,22 +15,19 @@ import zlib
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from diffloom.operators.skew import dictionary_join, hot_keys
 from diffloom.session import staged
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: Estimate by the signatures under which a pair's shingle sets aren't compared: over four standard errors below SIMILAR.
-RULED_OUT = 0.65
 BANDS, ROWS = 20, 8
-#: Members of a bucket with which the others are compared in the first round.
-CENTRES = 2
-#: Share of all links up to which those of one round count as few enough to end.
-SETTLED = 0.01
+#: Bands whose buckets are compared first where only components are asked for, so that most of the others needn't be.
+FIRST_BANDS = 2
+#: Shingles of one block of a bucket, and what each member weighs besides its own; blocks meet pairwise, in tiles.
+BLOCK, MEMBER = 131_072, 128
 #: Share of a family's files with a generator's mark from which all of them count as generated; the share of its whole
 #: cluster weighs as FAMILY_PRIOR files in a repository's family, and CLUSTER_PRIOR unmarked files in that share keep
 #: small clusters from deciding.
@@ -47,6 +44,8 @@ LITERAL_SHARE = 0.85
 DENSE_LINE = 60
 #: Files that are laid end to end at a time, and tokens a worker remembers.
 _SLICE, _VOCABULARY = 256, 400_000
+#: Words of 64 bits of all sets of a tile that are filled at a time.
+_WORDS = 128
 
 # Folders that hold copies of other projects, and files that list resolved dependencies or build output.
 _VENDOR_PATH = re.compile(r"(?i)(?:^|/)(?:vendor|third[_-]?party|3rd[_-]?party|node_modules|bower_components|jspm_packages|external|extern|godeps|_workspace|site-packages|contrib/[\w.-]+-\d[\w.]*)/")
@@ -312,27 +311,68 @@ def shingle_sets(texts: DataFrame, which: str) -> DataFrame:
     return texts.select("class", "content").mapInArrow(run, "class bigint, shingles binary")
 
 
-@F.pandas_udf(T.DoubleType())
-def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of equal places of two signatures: an estimate of the similarity of the shingle sets."""
-    if not len(a):
-        return pd.Series([], dtype="float64")
-    x, y = (np.frombuffer(b"".join(c), dtype=np.uint8).reshape(len(a), -1) for c in (a, b))
-    return pd.Series((x == y).mean(axis=1))
+def _bits(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets as rows of bits, for those shingles that more than one of them has, and the size of each set."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets)) // 4
+    _, place, n = np.unique(np.frombuffer(b"".join(sets), dtype=np.uint32), return_inverse=True, return_counts=True)
+    many = n > 1
+    kept = many[place]
+    owner, place = np.repeat(np.arange(len(sets)), sizes)[kept], (np.cumsum(many) - 1)[place[kept]]
+    bits = np.zeros((len(sets), -(-int(many.sum()) // 64)), np.uint64)
+    for lo in range(0, bits.shape[1], _WORDS):
+        part, width = (place >= 64 * lo) & (place < 64 * (lo + _WORDS)), min(_WORDS, bits.shape[1] - lo)
+        flags = np.zeros((len(sets), 64 * width), bool)
+        flags[owner[part], place[part] - 64 * lo] = True
+        bits[:, lo : lo + width] = np.packbits(flags, axis=1).view(np.uint64)
+    return bits, sizes
 
 
-@F.pandas_udf(T.DoubleType())
-def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two shingle sets."""
+def near_pairs(sets: list[bytes], side: np.ndarray, component: np.ndarray, every: bool) -> list[tuple[int, int]]:
+    """The pairs of places in ``sets`` whose similarity is SIMILAR or more: all pairs, or those of different sides if there are two.
 
-    def of(x: bytes, y: bytes) -> float:
-        p, q = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
-        if min(len(p), len(q)) < SIMILAR * max(len(p), len(q)):
-            return 0.0
-        n = len(np.intersect1d(p, q, assume_unique=True))
-        return n / (len(p) + len(q) - n)
+    With ``every`` unset only pairs of different components are compared, and a pair that is found joins its components.
+    """
+    bits, sizes = _bits(sets)
+    here, there = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    label, out = component.copy(), []
+    for k, r in enumerate(here):
+        to = there if len(there) else here[k + 1 :]
+        if not every:
+            to = to[label[to] != label[r]]
+        to = to[np.minimum(sizes[to], sizes[r]) / np.maximum(sizes[to], sizes[r]) >= SIMILAR]
+        if not len(to):
+            continue
+        both = np.bitwise_count(bits[to] & bits[r]).sum(axis=1, dtype=np.int64)
+        to = to[both / (sizes[to] + sizes[r] - both) >= SIMILAR]
+        if not every:
+            to = to[np.unique(label[to], return_index=True)[1]]
+            label[np.isin(label, label[to])] = label[r]
+        out += [(r, x) for x in to]
+    return out
+
+
+def linked(tiles: DataFrame, every: bool) -> DataFrame:
+    """(class, other) of the ``near_pairs`` of each tile: rows of equal (key, i, j) in (key, i, j, side, class, component, shingles)."""
 
-    return pd.Series([of(x, y) for x, y in zip(a, b)], dtype="float64")
+    def run(batches):
+        held = None
+        for batch in chain(batches, [None]):
+            t = held if batch is None else pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            if t is None or not t.num_rows:
+                continue
+            key, i, j, side, own, component = (t.column(c).to_numpy() for c in range(6))
+            starts = np.concatenate(([0], 1 + np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)), [t.num_rows]))
+            if batch is not None:  # the last tile may go on in the next batch
+                held, starts = t.slice(starts[-2]), starts[:-1]
+            found = []
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                if hi - lo > 1 and (i[lo] == j[lo] or side[lo:hi].any() and not side[lo:hi].all()):
+                    found += [(own[lo + x], own[lo + y]) for x, y in near_pairs(t.column(6).slice(lo, hi - lo).to_pylist(), side[lo:hi], component[lo:hi], every)]
+            pairs = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["class", "other"])
+
+    rows = tiles.select("key", "i", "j", "side", "class", "component", "shingles")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "class bigint, other bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -357,55 +397,45 @@ def components(links: DataFrame) -> DataFrame:
             return staged(labels, "labels")
 
 
-def clusters(classes: DataFrame, contents: DataFrame, which: str) -> tuple[DataFrame, DataFrame]:
+def clusters(classes: DataFrame, contents: DataFrame, which: str, every: bool = True) -> tuple[DataFrame, DataFrame]:
     """(class, head, component) of ``classes`` (class, file_id, signature), and the verified links (head, other) of heads.
 
-    Classes of equal signatures have one head; a head without links is a component by itself.
+    Classes of equal shingle sets have one head; a head without links is a component by itself.
 
-    Classes with equal bands share a bucket. In each round a bucket whose members aren't in one component yet names some
-    of them as centres (up to CENTRES, then its square, and so on), and every member of another component is compared
-    with them, by signatures and then on the shingle sets; what is SIMILAR is joined. Rounds end when one adds no more
-    than SETTLED of all links so far, so buckets are never compared pair by pair.
+    Classes with equal bands share a bucket. Within it all pairs are compared on their shingle sets, and those that are
+    SIMILAR are linked; with ``every`` unset, only pairs that aren't in one component yet are compared, and the links
+    are as many as join the components. A bucket of many shingles is dealt to blocks, and each two blocks meet in a tile,
+    so no task holds a whole bucket.
     """
     at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("signature", i * ROWS + 1, F.lit(ROWS)))).alias("band", "part")
-    alike = classes.groupBy(F.xxhash64("signature").alias("like")).agg(F.min("class").alias("class"), F.min_by("file_id", "class").alias("file_id"), F.first("signature").alias("signature"))
-    alike = staged(alike, "alike")  # equal signatures are one from the start
-    rows = alike.select("class", at).select("class", F.xxhash64("band", "part").alias("key"))
+    rows = classes.select("class", at).select("class", "band", F.xxhash64("band", "part").alias("key"))
     shared = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     crowded = hot_keys(shared, "key", "n", shared.agg(F.sum("n")).first()[0] or 0)
     members = staged(dictionary_join(rows, shared.select("key"), "key", "class", crowded), "members")
-    labels, tested, turn, links, all_links = alike.select("class", F.col("class").alias("component")), None, 0, 0, None
-    while True:
-        placed = members.join(labels, "class") if turn else members.withColumn("component", F.col("class"))
-        slot, one = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(CENTRES ** (turn + 1))).alias("slot"), F.struct("class", "component")
-        named = placed.groupBy("key", slot).agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(one).alias("c"))
-        split = named.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.collect_list("c").alias("centres")).where("a <> b")
-        met = dictionary_join(placed, split.select("key", "centres"), "key", "class", crowded).select("class", "component", F.explode("centres").alias("c"))
-        met = met.where(F.col("component") != F.col("c.component"))
-        pairs = met.select("class", F.col("c.class").alias("other")).distinct()
-        pairs = staged(pairs.join(tested, ["class", "other"], "left_anti") if tested is not None else pairs, "pairs")
-        often = hot_keys(pairs.groupBy("other").agg(F.count(F.lit(1)).alias("n")), "other", "n", pairs.count())  # a class has few centres, a centre may have many classes
-        signed = pairs.join(alike.select("class", "signature"), "class")
-        signed = dictionary_join(signed, alike.select(F.col("class").alias("other"), F.col("signature").alias("theirs")), "other", "class", often)
-        likely = staged(signed.where(_estimate("signature", "theirs") >= RULED_OUT).select("class", "other"), "likely")
-        needed = likely.select("class").unionByName(likely.select(F.col("other").alias("class"))).distinct()
-        needed = staged(needed.join(alike.select("class", "file_id"), "class"), "needed")
-        sets = staged(shingle_sets(contents.join(needed, "file_id").dropDuplicates(["class"]), which), "sets")
-        found = likely.join(sets.withColumnRenamed("shingles", "own"), "class")
-        found = dictionary_join(found, sets.withColumnsRenamed({"class": "other", "shingles": "theirs"}), "other", "class", often)
-        near = staged(found.where(_jaccard("own", "theirs") >= SIMILAR).select("class", "other"), "links")
-        new = near.count()
-        if new:
-            own, theirs = labels.withColumnRenamed("component", "a"), labels.withColumnsRenamed({"class": "other", "component": "b"})
-            joined = components(near.join(own, "class").join(theirs, "other").select(F.col("a").alias("class"), F.col("b").alias("other")))
-            joined = joined.select(F.col("component").alias("to"), F.col("class").alias("component"))
-            labels = staged(labels.join(joined, "component", "left").select("class", F.coalesce("to", "component").alias("component")), "clusters")
-        links, tested, turn = links + new, pairs if tested is None else tested.unionByName(pairs), turn + 1
+    needed = staged(members.select("class").distinct().join(classes.select("class", "file_id"), "class"), "needed")
+    sets = staged(shingle_sets(contents.join(needed, "file_id").dropDuplicates(["class"]), which), "sets")
+    alike = sets.select("class", F.xxhash64("shingles").alias("like"), (F.length("shingles") / 4).cast("long").alias("size"))
+    first = alike.groupBy("like").agg(F.min("class").alias("head"))
+    alike = staged(alike.join(first, "like").select("class", "head", "size"), "alike")  # equal sets are one from the start
+    labels = alike.where("class = head").select("head", "size", F.col("head").alias("component"))
+    members = members.join(alike.select("class", "head"), "class").select("head", "band", "key").distinct()
+    members, all_links = staged(members, "members"), None
+    for lo, hi in [(0, BANDS)] if every else [(0, FIRST_BANDS), (FIRST_BANDS, BANDS)]:
+        placed = staged(members.where(F.col("band").between(lo, hi - 1)).join(labels, "head"), "placed")
+        blocks = F.ceil(F.sum(F.col("size") + MEMBER) / BLOCK).alias("blocks")
+        split = placed.groupBy("key").agg(blocks, F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key", "blocks")
+        met = dictionary_join(placed, split, "key", "head", crowded).withColumn("own", F.pmod(F.xxhash64("head", F.lit(lo)), "blocks"))
+        met = met.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        i, j = F.least("own", "with"), F.greatest("own", "with")
+        met = met.select("key", i.alias("i"), j.alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), F.col("head").alias("class"), "component")
+        near = staged(linked(met.join(sets, "class"), every).distinct(), "links")
+        own, theirs = labels.select(F.col("head").alias("class"), F.col("component").alias("a")), labels.select(F.col("head").alias("other"), F.col("component").alias("b"))
+        joined = components(near.join(own, "class").join(theirs, "other").select(F.col("a").alias("class"), F.col("b").alias("other")))
+        joined = joined.select(F.col("component").alias("to"), F.col("class").alias("component"))
+        labels = staged(labels.join(joined, "component", "left").select("head", "size", F.coalesce("to", "component").alias("component")), "clusters")
         all_links = near if all_links is None else all_links.unionByName(near)
-        if new <= SETTLED * links:
-            break
-    of = alike.join(labels, "class").select("like", F.col("class").alias("head"), "component")
-    whole = classes.select("class", F.xxhash64("signature").alias("like")).join(of, "like").select("class", "head", "component")
+    of = alike.join(labels, "head").select("class", "head", "component")
+    whole = classes.select("class").join(of, "class", "left").select("class", F.coalesce("head", "class").alias("head"), F.coalesce("component", "class").alias("component"))
     return whole, all_links.withColumnRenamed("class", "head")
 
 
@@ -443,7 +473,7 @@ def shape_verdicts(files: DataFrame, contents: DataFrame) -> tuple[DataFrame, Da
     by_repo = staged(_by_class(files, "shape", "repo"), "shapes-by-repository")
     classes = by_repo.groupBy("class").agg(F.min("file_id").alias("file_id"), F.min("signature").alias("signature"), *(F.sum(c).alias(c) for c in ("files", "emitted", "code", *_COUNTS)))
     classes = staged(classes, "shapes")
-    whole = clusters(classes, contents, "shape")[0]
+    whole = clusters(classes, contents, "shape", every=False)[0]
     literal = (F.col("bulk") >= BULK_SHARE * F.col("size")) | (F.col("literals") >= LITERAL_SHARE * F.col("words"))
     data, dense = (F.col("words") > 0) & literal, F.col("tokens") >= DENSE_LINE * F.col("lines")
     placed = classes.join(whole, "class")

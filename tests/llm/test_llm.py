@@ -133,6 +133,51 @@ def test_clusters_against_exact_similarity(spark):
     assert len({of[k * 10] for k in range(4)}) == 4
 
 
+def exact_clusters(spark, texts, parts, every=True):
+    """Components and links by ``clusters``, and the pairs of equal first bands that are alike by brute force."""
+    import numpy as np
+
+    df = spark.createDataFrame(list(enumerate(texts)), "file_id bigint, content string")
+    sets = {r["class"]: np.frombuffer(r["shingles"], dtype=np.uint32) for r in generated.shingle_sets(df.select(F.col("file_id").alias("class"), "content"), "wording").collect()}
+    near = set()
+    for a, b in itertools.combinations(sorted(sets), 2):
+        n = len(np.intersect1d(sets[a], sets[b]))
+        if parts[a] == parts[b] and n / (len(sets[a]) + len(sets[b]) - n) >= 0.8:
+            near.add((a, b))
+    # one band in common, and seven of eight places of the others, so that no estimate by the places rules a pair out
+    signatures = [parts[k].to_bytes(8, "big") + b"".join(b"samebit" + bytes([(k + 7 * band) % 256]) for band in range(generated.BANDS - 1)) for k in range(len(texts))]
+    classes = spark.createDataFrame([(k, k, bytearray(x)) for k, x in enumerate(signatures)], "class bigint, file_id bigint, signature binary")
+    whole, links = generated.clusters(classes, df, "wording", **({} if every else {"every": False}))
+    return {r["class"]: r["component"] for r in whole.collect()}, {tuple(sorted((r["head"], r["other"]))) for r in links.collect()}, near
+
+
+def test_a_bucket_of_few_links_beside_one_of_many(spark):
+    crowd = [CODE + f"\nexport const last{k} = {k};" for k in range(120)]
+    twins = ["\n".join(f"def twin{k}_{i}(a{k}, b{i}):\n    return load{k}_{i}(a{k}) + {1000 * k + i}" for i in range(12)) + f"\nx{k} = {j}" for k in range(50) for j in range(2)]
+    of, links, near = exact_clusters(spark, crowd + twins, [1] * 120 + [2] * 100)
+    assert len(near) == 120 * 119 // 2 + 50 and links == near
+    assert len(set(of.values())) == 51 and all(of[a] == of[b] for a, b in near)
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_buckets_in_blocks(spark, monkeypatch, every):
+    monkeypatch.setattr(generated, "BLOCK", 5000)
+    rnd = random.Random(8)
+    texts = []
+    for k in range(60):
+        at = [f"v{k % 9}_{i} = read{k % 9}(w{i}, {i})" for i in range(40)]
+        for _ in range(rnd.randrange(1, 4)):
+            at[rnd.randrange(40)] = f"skip({rnd.randrange(10**6)})"
+        texts.append("\n".join(at))
+    of, links, near = exact_clusters(spark, texts, [3] * 60, every)
+    want = {k: k for k in of}
+    for _ in want:
+        for a, b in near:
+            want[a] = want[b] = min(want[a], want[b])
+    assert len(near) > 30 and of == want and len(set(of.values())) >= 9
+    assert links == near if every else links <= near and len(links) >= 60 - len(set(want.values()))
+
+
 def test_chance_copies_are_many_of_a_shape(spark):
     words = ["amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "heath"]
     made = lambda a, b: f"import json\n\ndef load_{a}(path):\n    with open(path) as handle:\n        for line in handle:\n            yield line.split('{b}')\n"
